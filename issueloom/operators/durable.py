@@ -9,7 +9,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
@@ -29,8 +30,14 @@ def checkpoint_dir(spark: SparkSession) -> str:
 
 def durable(df: DataFrame, name: str) -> DataFrame:
     """Write `df` to the checkpoint folder and return a reader of what was written."""
+    return counted(df, name)[0]
+
+
+def counted(df: DataFrame, name: str) -> tuple[DataFrame, int]:
+    """As `durable`, with the number of rows, which is observed while they are written."""
     spark = df.sparkSession
     app = spark.sparkContext.applicationId
     path = f"{checkpoint_dir(spark).rstrip('/')}/{app}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    seen = Observation(f"rows-of-{name}")
+    df.observe(seen, F.count(F.lit(1)).alias("rows")).write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path), seen.get["rows"]

@@ -37,12 +37,16 @@ def salted_join(
     how: str,
     spread: list[str],
     hot_rows: int = HOT_ROWS,
+    left_rows: int | None = None,
 ) -> DataFrame:
     """Inner or left join whose hot left keys are cut into salts of about `hot_rows` rows.
 
     `spread` names left columns that tell rows of one key apart. The salt is their hash, so a retried
     task gives the same salts. Right rows of a hot key are repeated once per salt; all others stay single.
+    If `left_rows` is known and below `hot_rows`, no key can be hot, and the join is a plain one.
     """
+    if left_rows is not None and left_rows < hot_rows:
+        return left.join(right, keys, how)
     hot = F.broadcast(hot_keys(left, keys, hot_rows))
     salted_left = (
         left.withColumn("_hash", F.xxhash64(*keys))

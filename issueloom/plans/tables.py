@@ -11,36 +11,40 @@ AS_OF = datetime(2001, 8, 1)
 UNKNOWN = 1_000_000_000
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+# Schemas of the test tables that are read here.
+SCHEMAS = {
+    "orders": "o_orderkey long, o_custkey long, o_orderstatus string, o_totalprice double, "
+    "o_orderdate timestamp_ntz, o_orderpriority string",
+    "lineitem": "l_orderkey long, l_linenumber int, l_returnflag string, l_linestatus string",
+    "documents": "doc_id long, text string, lang string, source string, n_chars long",
+    "labels": "doc_id long, quality int, toxic int",
+}
 
 
-def repo_of() -> Column:
-    return F.concat(F.lit("acme/r"), (F.col("o_custkey") % 10).cast("string"))
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.schema(SCHEMAS[name]).parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def text_of(column: str) -> Column:
-    return F.col(column).cast("string")
+REPO = "concat('acme/r', o_custkey % 10) AS repo"
 
 
 def issues(spark: SparkSession, sf_dir: str) -> DataFrame:
-    orders = table(spark, sf_dir, "orders")
-    return orders.select(
-        F.col("o_orderkey").alias("number"),
-        repo_of().alias("repo"),
-        (F.col("o_custkey") % 10).cast("int").alias("repo_pos"),
-        F.expr("o_orderkey div 100").alias("page"),
-        (F.col("o_orderkey") % 100).cast("int").alias("pos"),
-        F.concat(F.lit("Order | "), text_of("o_orderkey")).alias("title"),
-        F.col("o_orderpriority").alias("body"),
-        F.when(F.col("o_orderstatus") == "O", "open").otherwise("closed").alias("state"),
-        (F.col("o_orderstatus") == "P").alias("is_pr"),
-        F.col("o_orderdate").alias("created_at"),
-        F.col("o_orderdate").alias("updated_at"),
-        F.date_format("o_orderdate", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("created_text"),
-        F.concat(F.lit("https://x/"), text_of("o_orderkey")).alias("html_url"),
-        F.col("o_totalprice").alias("score"),
-        F.lit(0).cast("long").alias("comments"),
+    return table(spark, sf_dir, "orders").selectExpr(
+        "o_orderkey AS number",
+        REPO,
+        "cast(o_custkey % 10 AS int) AS repo_pos",
+        "o_orderkey div 100 AS page",
+        "cast(o_orderkey % 100 AS int) AS pos",
+        "concat('Order | ', o_orderkey) AS title",
+        "o_orderpriority AS body",
+        "CASE WHEN o_orderstatus = 'O' THEN 'open' ELSE 'closed' END AS state",
+        "o_orderstatus = 'P' AS is_pr",
+        "o_orderdate AS created_at",
+        "o_orderdate AS updated_at",
+        "date_format(o_orderdate, \"yyyy-MM-dd'T'HH:mm:ss'Z'\") AS created_text",
+        "concat('https://x/', o_orderkey) AS html_url",
+        "o_totalprice AS score",
+        "0L AS comments",
     )
 
 
@@ -56,17 +60,14 @@ def lookback(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def reactions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = table(spark, sf_dir, "lineitem").select(
-        F.col("l_orderkey").alias("number"),
+    lines = table(spark, sf_dir, "lineitem").selectExpr(
+        "l_orderkey AS number",
         "l_linenumber",
-        F.concat("l_returnflag", "l_linestatus").alias("code"),
+        "CASE concat(l_returnflag, l_linestatus) WHEN 'RO' THEN '+1' WHEN 'RF' THEN 'heart' WHEN 'AO' THEN 'rocket' "
+        "WHEN 'NF' THEN 'eyes' WHEN 'AF' THEN 'confused' ELSE '-1' END AS content",
     )
-    names = {"RO": "+1", "RF": "heart", "AO": "rocket", "NF": "eyes", "AF": "confused"}
-    content = F.lit("-1")
-    for code, name in names.items():
-        content = F.when(F.col("code") == code, name).otherwise(content)
     keys = issues(spark, sf_dir).select("number", "repo")
-    return lines.join(keys, "number").select("repo", "number", "l_linenumber", content.alias("content"))
+    return lines.join(keys, "number").select("repo", "number", "l_linenumber", "content")
 
 
 def reaction_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -86,54 +87,49 @@ def reaction_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def priorities(spark: SparkSession, sf_dir: str) -> DataFrame:
-    level = F.substring("o_orderpriority", 1, 1)
-    return table(spark, sf_dir, "orders").select(
-        repo_of().alias("repo"),
-        F.lit(0).cast("long").alias("batch_id"),
-        F.col("o_orderkey").alias("pos"),
-        F.col("o_orderkey").alias("issue_id"),
-        F.when(level == "1", "P0").when(level == "2", "P1").when(level == "3", "P2").when(level == "5", "P9")
-        .alias("priority"),
-        F.col("o_orderpriority").alias("reasoning"),
-    )
+    return table(spark, sf_dir, "orders").selectExpr(
+        REPO,
+        "0L AS batch_id",
+        "o_orderkey AS pos",
+        "o_orderkey AS issue_id",
+        "CASE substring(o_orderpriority, 1, 1) WHEN '1' THEN 'P0' WHEN '2' THEN 'P1' WHEN '3' THEN 'P2' "
+        "WHEN '5' THEN 'P9' END AS priority",
+        "o_orderpriority AS reasoning",
+    )
 
 
 def priority_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Several priorities per issue, one per line item. Rows of one position are equal."""
-    flag = F.col("l_returnflag")
-    place = F.when(flag == "A", 0).when(flag == "N", 1).otherwise(2)
-    lines = table(spark, sf_dir, "lineitem").select(
-        F.col("l_orderkey").alias("number"),
-        (F.col("l_linenumber") * 3 + place).alias("pos"),
-        F.concat(F.lit("P"), text_of("l_linenumber")).alias("priority"),
-        F.col("l_returnflag").alias("reasoning"),
+    lines = table(spark, sf_dir, "lineitem").selectExpr(
+        "l_orderkey AS issue_id",
+        "l_linenumber * 3 + CASE l_returnflag WHEN 'A' THEN 0 WHEN 'N' THEN 1 ELSE 2 END AS pos",
+        "concat('P', l_linenumber) AS priority",
+        "l_returnflag AS reasoning",
+    )
+    keys = issues(spark, sf_dir).selectExpr("number AS issue_id", "repo")
+    return lines.join(keys, "issue_id").selectExpr(
+        "repo", "0L AS batch_id", "pos", "issue_id", "priority", "reasoning"
     )
-    return lines.join(issues(spark, sf_dir).select("number", "repo"), "number").select(
-        "repo", F.lit(0).cast("long").alias("batch_id"), "pos", F.col("number").alias("issue_id"),
-        "priority", "reasoning",
-    )
 
 
 def urgent(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One urgent list per landed page; every seventh id is unknown."""
-    key = F.col("o_orderkey")
-    return table(spark, sf_dir, "orders").select(
-        repo_of().alias("repo"),
-        F.expr("o_orderkey div 100").alias("batch_id"),
-        (key % 100).cast("int").alias("pos"),
-        F.when(key % 7 == 0, key + UNKNOWN).otherwise(key).alias("issue_id"),
+    return table(spark, sf_dir, "orders").selectExpr(
+        REPO,
+        "o_orderkey div 100 AS batch_id",
+        "cast(o_orderkey % 100 AS int) AS pos",
+        f"o_orderkey + CASE WHEN o_orderkey % 7 = 0 THEN {UNKNOWN}L ELSE 0L END AS issue_id",
     )
 
 
 def duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Groups of neighbouring issues of a repository; every 13th id is unknown."""
-    key = F.col("o_orderkey")
-    return table(spark, sf_dir, "orders").select(
-        repo_of().alias("repo"),
-        F.lit(0).cast("long").alias("batch_id"),
-        F.expr("o_orderkey div 40").alias("group_pos"),
-        (key % 40).cast("int").alias("member_pos"),
-        F.when(key % 13 == 0, key + UNKNOWN).otherwise(key).alias("issue_id"),
+    return table(spark, sf_dir, "orders").selectExpr(
+        REPO,
+        "0L AS batch_id",
+        "o_orderkey div 40 AS group_pos",
+        "cast(o_orderkey % 40 AS int) AS member_pos",
+        f"o_orderkey + CASE WHEN o_orderkey % 13 = 0 THEN {UNKNOWN}L ELSE 0L END AS issue_id",
     )
 
 
@@ -142,41 +138,25 @@ def issue_json(reshaped: bool = False) -> Column:
 
     `reshaped` also turns some numbers into texts, as a raw issue of unknown origin may have them.
     """
-    n = F.col("number")
-    text = n.cast("string")
-    number = text
+    number = "number"
     if reshaped:
-        number = F.when(n % 64 == 5, F.lit('"n/a"')).when(n % 8 == 3, F.concat(F.lit('"'), text, F.lit('"')))
-        number = number.otherwise(text)
-    labels = (
-        F.when(n % 10 == 7, F.lit("null"))
-        .when(n % 10 == 8, F.lit("[]"))
-        .otherwise(
-            F.concat(
-                F.lit('[{"name":"'), F.col("body"), F.lit('"},"'), F.col("state"), F.lit('",{"name":null},7,null]')
-            )
-        )
-    )
-    summary = F.concat(
-        F.lit('{"url":"u","total_count":'), (n % 5 + n % 3).cast("string"),
-        F.lit(',"+1":'), (n % 5).cast("string"),
-        F.lit(',"heart":'), (n % 3).cast("string"), F.lit("}"),
-    )
-    explicit = F.when(
-        n % 6 == 0, F.concat(F.lit(',"reactions_total":'), (n % 4).cast("string"), F.lit(',"reactions_positive":2'))
-    ).otherwise(F.lit(""))
-    return F.concat(
-        F.lit('{"number":'), number,
-        F.lit(',"title":"'), F.col("title"), F.lit('","body":"'), F.col("body"),
-        F.lit('","labels":'), labels,
-        F.when(n % 4 == 0, F.lit("")).when(n % 16 == 1, F.lit(',"comments":null'))
-        .otherwise(F.concat(F.lit(',"comments":'), (n % 9).cast("string"))),
-        F.lit(',"created_at":"'), F.col("created_text"), F.lit('","updated_at":"'), F.col("created_text"),
-        F.lit('","state":"'), F.col("state"), F.lit('","html_url":"'), F.col("html_url"), F.lit('"'),
-        F.when(F.col("is_pr"), F.when(n % 2 == 0, F.lit(',"pull_request":null')).otherwise(F.lit(',"pull_request":{"url":"x"}')))
-        .otherwise(F.lit("")),
-        F.lit(',"reactions":'), summary, explicit, F.lit("}"),
-    )
+        number = """CASE WHEN number % 64 = 5 THEN '"n/a"' WHEN number % 8 = 3 THEN concat('"', number, '"')
+          ELSE cast(number AS string) END"""
+    return F.expr(f"""concat(
+      '{{"number":', {number}, ',"title":"', title, '","body":"', body, '","labels":',
+      CASE WHEN number % 10 = 7 THEN 'null' WHEN number % 10 = 8 THEN '[]'
+           ELSE concat('[{{"name":"', body, '"}},"', state, '",{{"name":null}},7,null]') END,
+      CASE WHEN number % 4 = 0 THEN '' WHEN number % 16 = 1 THEN ',"comments":null'
+           ELSE concat(',"comments":', number % 9) END,
+      ',"created_at":"', created_text, '","updated_at":"', created_text, '","state":"', state,
+      '","html_url":"', html_url, '"',
+      CASE WHEN NOT is_pr THEN '' WHEN number % 2 = 0 THEN ',"pull_request":null'
+           ELSE ',"pull_request":{{"url":"x"}}' END,
+      ',"reactions":{{"url":"u","total_count":', number % 5 + number % 3, ',"+1":', number % 5,
+      ',"heart":', number % 3, '}}',
+      CASE WHEN number % 6 = 0 THEN concat(',"reactions_total":', number % 4, ',"reactions_positive":2')
+           ELSE '' END,
+      '}}')""")
 
 
 def pages(spark: SparkSession, sf_dir: str, reshaped: bool = False) -> DataFrame:
@@ -193,64 +173,49 @@ def pages(spark: SparkSession, sf_dir: str, reshaped: bool = False) -> DataFrame
 
 
 def docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select(
-        F.col("doc_id").alias("number"),
-        F.col("source").alias("repo"),
-        F.expr("doc_id div 100").alias("page"),
-        (F.col("doc_id") % 100).cast("int").alias("pos"),
-        F.substring_index("text", "\n", 1).alias("title"),
-        F.col("text").alias("body"),
+    return table(spark, sf_dir, "documents").selectExpr(
+        "doc_id AS number",
+        "source AS repo",
+        "doc_id div 100 AS page",
+        "cast(doc_id % 100 AS int) AS pos",
+        "substring_index(text, '\n', 1) AS title",
+        "text AS body",
     )
 
 
 def scored(spark: SparkSession, sf_dir: str, labelled_only: bool = True) -> DataFrame:
     """Classified and scored documents; unlabelled ones have no category, and some rows are invalid."""
     marks = table(spark, sf_dir, "labels")
-    category = (
-        F.when(F.col("toxic") == 1, "security")
-        .when(F.col("quality") == 0, "bug")
-        .when(F.col("quality") == 1, "feature")
-        .otherwise("")
-    )
     joined = table(spark, sf_dir, "documents").join(marks, "doc_id", "inner" if labelled_only else "left")
-    return joined.select(
-        F.col("doc_id").alias("number"),
-        F.col("source").alias("repo"),
-        category.alias("category"),
-        F.when(F.col("lang") == "en", "P0").when(F.col("lang") == "fr", "P1").when(F.col("lang") == "de", "P9")
-        .alias("priority_level"),
-        F.when(F.col("n_chars") % 10 != 0, F.col("n_chars").cast("double")).alias("score"),
-    )
+    return joined.selectExpr(
+        "doc_id AS number",
+        "source AS repo",
+        "CASE WHEN toxic = 1 THEN 'security' WHEN quality = 0 THEN 'bug' WHEN quality = 1 THEN 'feature' ELSE '' END "
+        "AS category",
+        "CASE lang WHEN 'en' THEN 'P0' WHEN 'fr' THEN 'P1' WHEN 'de' THEN 'P9' END AS priority_level",
+        "CASE WHEN n_chars % 10 <> 0 THEN cast(n_chars AS double) END AS score",
+    )
 
 
 def answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Model answers in the shapes that occur, one per landed page: sound, cut off, not an object, missing."""
-    n = F.col("number")
-    text = n.cast("string")
-    shape = F.col("page") % 10
-    entry = F.concat(
-        F.lit('{"issue_id":'),
-        F.when(n % 17 == 0, F.concat(F.lit('"'), text, F.lit('"'))).otherwise(text),
-        F.when(n % 5 == 4, F.lit("")).otherwise(F.concat(F.lit(',"priority":"P'), (n % 5).cast("string"), F.lit('"'))),
-        F.lit(',"reasoning":"r '), text, F.lit('"}'),
-    )
-    items = F.array_sort(F.collect_list(F.struct("pos", entry.alias("entry"), text.alias("id"))))
-    body = F.concat(
-        F.lit('{"priorities":['), F.array_join("items.entry", ","),
-        F.lit('],"duplicates":[['), F.array_join("items.id", ","),
-        F.lit(']],"top_urgent_issues":['), F.array_join(F.reverse("items.id"), ","), F.lit("]}"),
-    )
+    entry = F.expr("""concat(
+      '{"issue_id":', CASE WHEN number % 17 = 0 THEN concat('"', number, '"') ELSE cast(number AS string) END,
+      CASE WHEN number % 5 = 4 THEN '' ELSE concat(',"priority":"P', number % 5, '"') END,
+      ',"reasoning":"r ', number, '"}')""")
+    items = F.array_sort(F.collect_list(F.struct("pos", entry.alias("entry"), "number")))
+    body = """concat('{"priorities":[', array_join(items.entry, ','), '],"duplicates":[[',
+      array_join(cast(items.number AS array<string>), ','), ']],"top_urgent_issues":[',
+      array_join(cast(reverse(items.number) AS array<string>), ','), ']}')"""
     return (
         issues(spark, sf_dir)
-        .groupBy("repo", F.col("page"))
+        .groupBy("repo", "page")
         .agg(items.alias("items"))
-        .select(
+        .withColumn("body", F.expr(body))
+        .selectExpr(
             "repo",
-            F.col("page").alias("batch_id"),
-            F.when(shape == 3, F.substring(body, 1, 40))
-            .when(shape == 4, F.concat(F.lit("["), body, F.lit("]")))
-            .when(shape == 6, F.lit("Invalid JSON"))
-            .when(shape != 5, body)
-            .alias("response"),
+            "page AS batch_id",
+            "CASE page % 10 WHEN 3 THEN substring(body, 1, 40) WHEN 4 THEN concat('[', body, ']') "
+            "WHEN 5 THEN NULL WHEN 6 THEN 'Invalid JSON' ELSE body END AS response",
         )
     )

@@ -15,7 +15,7 @@ from issueloom.operators.filters import lookback_filter, open_only, updated_sinc
 from issueloom.operators.groups import duplicate_groups, group_links
 from issueloom.operators.ingest import explode_pages, exclude_pull_requests, normalize_issue, union_repos
 from issueloom.operators.limits import TOP_N_ROWS, limit_global, limit_per_repo
-from issueloom.operators.model import apply_model, pack_prompts, parse_analysis, render_prompt_block
+from issueloom.operators.model import apply_model, pack_prompts, parse_analysis, render_prompt_block, with_parsed
 from issueloom.operators.reactions import attach_reactions
 from issueloom.operators.report import (
     KEY,
@@ -28,7 +28,7 @@ from issueloom.operators.report import (
     top_urgent_fallback,
     urgent_rows,
 )
-from issueloom.operators.similar import similar_pairs
+from issueloom.operators.similar import similar_links
 from issueloom.operators.skew import lookup_join
 from issueloom.plans.report import report_lines
 
@@ -97,12 +97,13 @@ def triage_report(
 
     counted = attach_reactions(kept, reactions, issues_limited=True)
     prompts = pack_prompts(render_prompt_block(counted), max_issues, max_chars)
-    answers = durable(apply_model(prompts, make_model, concurrency), "answers")
+    answers = durable(with_parsed(apply_model(prompts, make_model, concurrency)), "answers")
     one_prompt = answers.limit(2).count() == 1
     places = repos.groupBy("repo").agg(F.min("repo_pos").alias("repo_pos"))
     analysis = parse_analysis(lookup_join(answers, places, ["repo"], "inner", spread=["batch_id"]))
 
-    issues = last_per_key(kept, KEY, ["repo_pos", "page", "pos"])
+    arrival = ["repo_pos", "page", "pos"]
+    issues = last_per_key(kept.select(*KEY, "title", "html_url", *arrival), KEY, arrival)
     top_is_list = one_prompt and not analysis.urgent.isEmpty()
     if top_is_list:
         top = urgent_rows(analysis.urgent, analysis.priorities, issues)
@@ -115,7 +116,8 @@ def triage_report(
         names = duplicates.select("repo", "batch_id", "group_pos")
     else:
         links = group_links(analysis.duplicates)
-        links = links.unionByName(similar_pairs(issues, *similarity).select(*links.columns))
+        texts = last_per_key(kept.select(*KEY, "title", "body", *arrival), KEY, arrival)
+        links = links.unionByName(similar_links(texts, *similarity).select(*links.columns))
         duplicates = duplicate_groups(links)
         lines = group_lines(duplicates, issues)
         names = duplicates.select("group_repo", "group_number")
