@@ -14,9 +14,7 @@ def read_page_files(spark: SparkSession, path: str) -> DataFrame:
     A filter on `repo` or `page` prunes folders. For large landings prefer `read_page_table`, as one file
     per page costs one open per page.
     """
-    files = (
-        spark.read.schema("value string, repo string, page long").option("wholetext", True).text(path)
-    )
+    files = spark.read.schema("value string, repo string, page long").text(path, wholetext=True)
     return files.select("repo", "page", F.col("value").alias("body"))
 
 
@@ -27,9 +25,7 @@ def read_page_table(spark: SparkSession, path: str) -> DataFrame:
 
 def read_reaction_files(spark: SparkSession, path: str) -> DataFrame:
     """Reaction arrays from JSON files in folders `repo=<owner%2Fname>/number=<n>/`."""
-    files = (
-        spark.read.schema("value string, repo string, number long").option("wholetext", True).text(path)
-    )
+    files = spark.read.schema("value string, repo string, number long").text(path, wholetext=True)
     return files.select("repo", "number", F.col("value").alias("body"))
 
 

@@ -1,0 +1,53 @@
+import random
+
+import pytest
+from pyspark.sql import functions as F
+
+from issueloom.operators.durable import checkpoint_dir, counted, durable
+from issueloom.operators.skew import hot_keys, lookup_join, salted_join
+
+rng = random.Random(7)
+
+
+@pytest.fixture(scope="module")
+def sides(spark):
+    left = [("hot" if i % 3 == 0 else f"k{rng.randint(0, 30)}", i) for i in range(600)] + [(None, 600 + i) for i in range(50)]
+    right = [("hot", 1)] + [(f"k{i}", i) for i in range(0, 40, 2)] + [("k4", 99), (None, 5)]
+    return (
+        spark.createDataFrame(left, "k string, i long"),
+        spark.createDataFrame(right, "k string, v long"),
+    )
+
+
+def rows(df):
+    return sorted((tuple(r) for r in df.select("k", "i", "v").collect()), key=repr)
+
+
+@pytest.mark.parametrize("how", ["inner", "left"])
+@pytest.mark.parametrize("hot_rows", [10, 50, 10_000])
+def test_salted_join_is_a_join(sides, how, hot_rows):
+    left, right = sides
+    assert rows(salted_join(left, right, ["k"], how, ["i"], hot_rows)) == rows(left.join(right, "k", how))
+
+
+def test_a_hot_key_is_found_and_spread(sides):
+    left, right = sides
+    hot = {r._hash: r._salts for r in hot_keys(left, ["k"], 40).collect()}
+    expected = left.select(F.xxhash64(F.lit("hot")).alias("h")).first().h
+    assert hot[expected] == 5
+    assert len(hot) == 2
+
+
+@pytest.mark.parametrize("how", ["inner", "left"])
+def test_lookup_join_beyond_its_bound(sides, how):
+    left, right = sides
+    assert rows(lookup_join(left, right, ["k"], how, ["i"], max_rows=3)) == rows(left.join(right, "k", how))
+
+
+def test_durable_tables(spark):
+    df = spark.range(10).withColumn("x", F.rand())
+    kept = durable(df, "t")
+    assert kept.collect() == kept.collect()
+    empty, none = counted(df.filter("id < 0"), "none")
+    assert (none, empty.count(), empty.columns) == (0, 0, df.columns)
+    assert kept.inputFiles()[0].replace("file:", "").lstrip("/").startswith(checkpoint_dir(spark).replace("file:", "").lstrip("/"))
