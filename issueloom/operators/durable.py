@@ -9,7 +9,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -33,11 +33,12 @@ def durable(df: DataFrame, name: str) -> DataFrame:
     return counted(df, name)[0]
 
 
-def counted(df: DataFrame, name: str) -> tuple[DataFrame, int]:
-    """As `durable`, with the number of rows, which is observed while they are written."""
+def counted(df: DataFrame, name: str, measure: Column | None = None) -> tuple[DataFrame, int]:
+    """As `durable`, with the number of rows, or another sum, observed while they are written."""
     spark = df.sparkSession
     app = spark.sparkContext.applicationId
     path = f"{checkpoint_dir(spark).rstrip('/')}/{app}/{name}-{uuid.uuid4().hex}"
-    seen = Observation(f"rows-of-{name}")
-    df.observe(seen, F.count(F.lit(1)).alias("rows")).write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path), seen.get["rows"]
+    seen = Observation(f"size-of-{name}")
+    size = (F.count(F.lit(1)) if measure is None else measure).alias("size")
+    df.observe(seen, size).write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path), seen.get["size"] or 0

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from issueloom.functions.json import array_field, label_names, whole_number
 from issueloom.operators import filters, groups, ingest, limits, model, quality, reactions, report, similar
+from issueloom.operators.durable import durable
 from issueloom.plans import tables
 from issueloom.plans.report import report_lines as assemble
 from issueloom.plans.standin import standin
@@ -291,7 +292,8 @@ def duplicate_lines(spark, sf):
 
 @query
 def parse_analysis(spark, sf):
-    parsed = model.parse_analysis(tables.answers(spark, sf))
+    answers = durable(model.with_parsed(tables.answers(spark, sf)), "answers")
+    parsed = model.parse_analysis(answers)
     columns = {
         "pos": "int", "member_pos": "int", "issue_id": "long", "priority": "string",
         "reasoning": "string", "reason": "string",

@@ -77,7 +77,7 @@ def reaction_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
         reactions(spark, sf_dir)
         .withColumn("part", F.expr("l_linenumber div 100"))
         .groupBy("repo", "number", "part")
-        .agg(F.array_sort(F.collect_list(item)).alias("items"))
+        .agg(F.sort_array(F.collect_list(item)).alias("items"))
         .select(
             "repo",
             "number",
@@ -165,7 +165,7 @@ def pages(spark: SparkSession, sf_dir: str, reshaped: bool = False) -> DataFrame
     return (
         issues(spark, sf_dir)
         .groupBy("repo", "page")
-        .agg(F.array_sort(F.collect_list(item)).alias("items"))
+        .agg(F.sort_array(F.collect_list(item)).alias("items"))
         .select(
             "repo", "page", F.concat(F.lit("["), F.array_join("items.json", ","), F.lit("]")).alias("body")
         )
@@ -203,7 +203,7 @@ def answers(spark: SparkSession, sf_dir: str) -> DataFrame:
       '{"issue_id":', CASE WHEN number % 17 = 0 THEN concat('"', number, '"') ELSE cast(number AS string) END,
       CASE WHEN number % 5 = 4 THEN '' ELSE concat(',"priority":"P', number % 5, '"') END,
       ',"reasoning":"r ', number, '"}')""")
-    items = F.array_sort(F.collect_list(F.struct("pos", entry.alias("entry"), "number")))
+    items = F.sort_array(F.collect_list(F.struct("pos", entry.alias("entry"), "number")))
     body = """concat('{"priorities":[', array_join(items.entry, ','), '],"duplicates":[[',
       array_join(cast(items.number AS array<string>), ','), ']],"top_urgent_issues":[',
       array_join(cast(reverse(items.number) AS array<string>), ','), ']}')"""
