@@ -50,12 +50,9 @@ def first_seen_distinct(df: DataFrame, value: str, order: str, strict: bool = Fa
         keep = F.when(blank, F.raise_error(F.lit("value must be a non-empty string")).isNotNull()).otherwise(
             F.lit(True)
         )
-    found = (
-        df.filter(keep)
-        .groupBy(F.col(value).alias("value"))
-        .agg(F.min(order).alias("pos"))
-    )
-    empty = found.limit(1).agg(F.count(F.lit(1)).alias("n")).filter("n = 0")
+    kept = df.filter(keep).select(F.col(value).alias("value"), F.col(order).alias("pos"))
+    found = kept.groupBy("value").agg(F.min("pos").alias("pos"))
+    empty = kept.limit(1).agg(F.count(F.lit(1)).alias("n")).filter("n = 0")
     guard = empty.select(
         F.raise_error(F.lit("no values remain")).cast("string").alias("value"),
         F.lit(None).cast(found.schema["pos"].dataType).alias("pos"),

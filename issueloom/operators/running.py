@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from issueloom.functions.numbers import quotient
+from issueloom.operators.durable import durable
+
 SPAN = 1000
 
 
@@ -15,9 +18,10 @@ def exclusive_sums(
 
     `df` has one row per `(key, order)`, `order` being a whole number. The sum is taken in two levels:
     inside spans of `span` order values, and over the span totals. The largest window task then holds
-    1/span of a key, even if one key (or, with no key, the table) holds all rows.
+    1/span of a key, even if one key (or, with no key, the table) holds all rows. `df` is read for both
+    levels. It is written to the checkpoint folder first, as it is small next to what it was counted from.
     """
-    spans = df.withColumn("_span", F.floor(F.col(order) / F.lit(span)))
+    spans = durable(df, "ordered").withColumn("_span", quotient(order, span))
     totals = spans.groupBy(*key, "_span").agg(*[F.sum(v).alias(f"_span_{v}") for v in values])
     over_spans = (
         Window.partitionBy(*key).orderBy("_span").rowsBetween(Window.unboundedPreceding, -1)

@@ -2,7 +2,8 @@
 
 Hot keys are found with one narrow pass of the `approx_top_k` sketch, which combines on the map side and
 shuffles no keys. The sketch only decides how rows are spread. A key it misses or overstates is still
-joined in full, so results never depend on it.
+joined in full, so results never depend on it. What it found is written to the checkpoint folder, so that
+both sides of a join, and any retry, use the same salts.
 """
 
 from __future__ import annotations
@@ -10,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from issueloom.operators.durable import counted
+
 HOT_ROWS = 1_000_000
 MAX_HOT_KEYS = 1024
 LOOKUP_ROWS = 100_000
@@ -43,11 +46,15 @@ def salted_join(
 
     `spread` names left columns that tell rows of one key apart. The salt is their hash, so a retried
     task gives the same salts. Right rows of a hot key are repeated once per salt; all others stay single.
-    If `left_rows` is known and below `hot_rows`, no key can be hot, and the join is a plain one.
+    Without a hot key the join is a plain one. `left_rows`, if known, saves the search where it is below
+    `hot_rows`.
     """
     if left_rows is not None and left_rows < hot_rows:
         return left.join(right, keys, how)
-    hot = F.broadcast(hot_keys(left, keys, hot_rows))
+    hot, found = counted(hot_keys(left, keys, hot_rows), "hot-keys")
+    if found == 0:
+        return left.join(right, keys, how)
+    hot = F.broadcast(hot)
     salted_left = (
         left.withColumn("_hash", F.xxhash64(*keys))
         .join(hot, "_hash", "left")

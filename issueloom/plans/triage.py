@@ -80,8 +80,9 @@ def triage_report(
 ) -> Triage:
     """Read, limit, count reactions, ask the model, parse its answers, and lay out the report.
 
-    Two points are written to the checkpoint folder: the kept issues, so that later steps do not parse the
-    pages again, and the answers, so that the model is asked once. With a single prompt the model's own
+    Three points are written to the checkpoint folder: the kept issues, so that later steps do not parse
+    the pages again, their prompt blocks, which packing reads twice, and the answers, so that the model is
+    asked once. With a single prompt the model's own
     urgent list and duplicate groups are used. With several, urgent lists cannot be compared, so issues
     rank by priority, and duplicates are also found across prompts by similarity.
     """
@@ -96,7 +97,8 @@ def triage_report(
         return Triage(None)
 
     counted = attach_reactions(kept, reactions, issues_limited=True)
-    prompts = pack_prompts(render_prompt_block(counted), max_issues, max_chars)
+    blocks = render_prompt_block(counted).select("repo", "page", "pos", "block")
+    prompts = pack_prompts(durable(blocks, "blocks"), max_issues, max_chars)
     answers = durable(with_parsed(apply_model(prompts, make_model, concurrency)), "answers")
     one_prompt = answers.limit(2).count() == 1
     places = repos.groupBy("repo").agg(F.min("repo_pos").alias("repo_pos"))
