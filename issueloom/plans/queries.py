@@ -34,6 +34,11 @@ def query(build: Callable[[SparkSession, str], DataFrame]):
     return build
 
 
+def utc_text(column: str, name: str):
+    """A timestamp as UTC text, whatever the time zone of the session."""
+    return F.date_format(F.to_utc_timestamp(column, F.current_timezone()), "yyyy-MM-dd HH:mm:ss").alias(name)
+
+
 def joined_labels(column: str):
     return F.array_join(column, ",", "<null>").alias(column)
 
@@ -102,8 +107,8 @@ def normalize_issue(spark, sf):
     rows = ingest.normalize_issue(ingest.explode_pages(tables.pages(spark, sf)))
     return rows.select(
         "repo", "page", "number", "title", "body", joined_labels("labels"), "comments",
-        F.date_format("created_at", "yyyy-MM-dd HH:mm:ss").alias("created"),
-        F.date_format("updated_at", "yyyy-MM-dd HH:mm:ss").alias("updated"),
+        utc_text("created_at", "created"),
+        utc_text("updated_at", "updated"),
         "state", "html_url",
     )
 
@@ -113,7 +118,7 @@ def issue_from_raw(spark, sf):
     rows = ingest.issue_from_raw(ingest.explode_pages(tables.pages(spark, sf, reshaped=True)))
     return rows.select(
         "repo", "page", "number", "title", "body", joined_labels("labels"), "comments",
-        F.date_format("created_at", "yyyy-MM-dd HH:mm:ss").alias("created"),
+        utc_text("created_at", "created"),
         "state", "html_url", "reactions_total", "reactions_positive", "reason",
     )
 
@@ -325,7 +330,8 @@ def pack_prompts(spark, sf):
 @query
 def apply_model(spark, sf):
     counted = reactions.attach_reactions(tables.issues(spark, sf), tables.reactions(spark, sf))
-    prompts = model.pack_prompts(model.render_prompt_block(counted), *ISSUE_PROMPT)
+    blocks = durable(model.render_prompt_block(counted).select("repo", "page", "pos", "block"), "blocks")
+    prompts = model.pack_prompts(blocks, *ISSUE_PROMPT)
     return model.apply_model(prompts, standin(), concurrency=8)
 
 

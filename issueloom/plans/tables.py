@@ -173,7 +173,11 @@ def pages(spark: SparkSession, sf_dir: str, reshaped: bool = False) -> DataFrame
 
 
 def docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").selectExpr(
+    """Documents as issues. A file of few row groups is spread over the cores before its texts are worked on.
+
+    A scan that already has a partition per core is left as it is.
+    """
+    scan = table(spark, sf_dir, "documents").selectExpr(
         "doc_id AS number",
         "source AS repo",
         "doc_id div 100 AS page",
@@ -181,6 +185,8 @@ def docs(spark: SparkSession, sf_dir: str) -> DataFrame:
         "substring_index(text, '\n', 1) AS title",
         "text AS body",
     )
+    cores = spark.sparkContext.defaultParallelism
+    return scan.repartition(cores, "number") if scan.rdd.getNumPartitions() < cores else scan
 
 
 def scored(spark: SparkSession, sf_dir: str, labelled_only: bool = True) -> DataFrame:
