@@ -342,7 +342,7 @@ def similar_pairs(spark, sf):
 
 @query
 def duplicate_groups(spark, sf):
-    return groups.duplicate_groups(similar.similar_pairs(tables.docs(spark, sf), *SIMILARITY))
+    return groups.duplicate_groups(similar.similar_links(tables.docs(spark, sf), *SIMILARITY))
 
 
 @query
