@@ -142,11 +142,12 @@ def thresholds(measured: DataFrame, lang: str, source: str, least_group: int = L
     wide = fences(merged(sketch, ["lang"]), ["lang"])
     wide = wide.select(F.struct("lang").alias("lang_key"), F.col("rows").alias("l_rows"), *[F.col(n).alias(f"l_{n}") for n in names])
     # A single row: the merged sketch has a bounded number of buckets.
-    whole = fences(merged(sketch, []).withColumn("all", F.lit(1)), ["all"])
-    whole = whole.select(*[F.col(n).alias(f"a_{n}") for n in names])
-    joined = own.withColumn("lang_key", F.struct("lang")).join(wide, "lang_key", "left").join(F.broadcast(whole))
+    whole = durable(fences(merged(sketch, []).withColumn("all", F.lit(1)), ["all"]), "fences")
+    joined = own.withColumn("lang_key", F.struct("lang")).join(wide, "lang_key", "left")
     pick = lambda n: (
-        F.when(F.col("rows") >= least_group, F.col(n)).when(F.col("l_rows") >= least_group, F.col(f"l_{n}")).otherwise(F.col(f"a_{n}"))
+        F.when(F.col("rows") >= least_group, F.col(n))
+        .when(F.col("l_rows") >= least_group, F.col(f"l_{n}"))
+        .otherwise(whole.select(n).scalar())
     )
     return joined.select("lang", "source", *[pick(n).alias(n) for n in names])
 

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from issueloom.llm import merges, packing, quality, ring, simhash, toxicity
+from issueloom.llm import merges, packing, pivots, quality, resample, ring, simhash, toxicity, urls, warc
 from issueloom.llm.common import table
 
 WORD_TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -28,6 +28,11 @@ def op1_best_fit_packing(spark, sf_dir):
     return packing.pack_documents(table(spark, sf_dir, "documents"), WORD_TOKENIZER)
 
 
+@query
+def op2_pivot_index(spark, sf_dir):
+    return pivots.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
 @query
 def op3_toxicity(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
@@ -49,6 +54,18 @@ def op4_ring_shards(spark, sf_dir):
     )
 
 
+@query
+def op5_warc_derivatives(spark, sf_dir):
+    records = warc.derive(warc.responses(table(spark, sf_dir, "pages")), "page_id")
+    return records.withColumn("text_sha256", F.sha2("block", 256)).drop("block")
+
+
+@query
+def op6_url_filter(spark, sf_dir):
+    pages = table(spark, sf_dir, "pages")
+    return urls.judge(pages, urls.train(urls.labelled_by_rules(pages)))
+
+
 @query
 def op7_byte_bpe(spark, sf_dir):
     return merges.encode_documents(table(spark, sf_dir, "documents"), BYTE_RANKS, public_tokenizers.PATTERN)
@@ -62,3 +79,8 @@ def op8_simhash(spark, sf_dir):
 @query
 def op9_quality_rules(spark, sf_dir):
     return quality.judge_documents(table(spark, sf_dir, "documents"))
+
+
+@query
+def op10_importance_resampling(spark, sf_dir):
+    return resample.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
