@@ -223,7 +223,7 @@ def place(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     counts = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}
     runs = sorted(two_fit(counts, capacity))
     lengths = sorted(counts)
-    ahead = dict(zip(lengths, accumulate([0, *(counts[x] for x in lengths[:-1])]), strict=True))
+    ahead = dict(zip(lengths, accumulate([0, *(counts[x] for x in lengths)]), strict=False))
     # All pieces stand in one line by (length, rank), and each run is one stretch of it.
     stretch = np.array([(ahead[r[0]] + r[1], r[3], r[4], r[5]) for r in runs], dtype="int64").reshape(-1, 4)
     start = np.zeros(capacity + 1, dtype="int64")

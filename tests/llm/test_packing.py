@@ -1,0 +1,100 @@
+import random
+import zlib
+from collections import Counter, defaultdict
+
+import cases
+import numpy as np
+import public_tokenizers
+import pytest
+from tokenizers import Tokenizer
+
+from issueloom.llm import packing
+
+FILE = public_tokenizers.path("word_bpe_49k.json")
+
+
+def expand(runs):
+    """(sequence, offset, length) of every piece of the runs."""
+    for length, _, n, sequence, offset, side in runs:
+        for i in range(n):
+            yield sequence + i // side, offset + i % side * length, length
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_runs_hold_every_piece_once_without_gaps(seed):
+    rng = random.Random(seed)
+    capacity = rng.choice([7, 64, 100])
+    counts = Counter(rng.randint(1, capacity) for _ in range(rng.choice([1, 20, 3000])))
+    runs = packing.two_fit(dict(counts), capacity)
+    placed = list(expand(runs))
+    assert Counter(x[2] for x in placed) == counts
+    ranks = defaultdict(list)
+    for length, first, n, *_ in runs:
+        ranks[length] += range(first, first + n)
+    assert all(sorted(r) == list(range(counts[length])) for length, r in ranks.items())
+    inside = defaultdict(list)
+    for sequence, offset, length in placed:
+        inside[sequence].append((offset, length))
+    for parts in inside.values():
+        at = 0
+        for offset, length in sorted(parts):
+            assert offset == at
+            at += length
+        assert at <= capacity
+
+
+def test_two_smaller_pieces_replace_the_smallest():
+    # Greedy takes 6 and 3 of 10; 3 goes back for 2 and 2.
+    runs = packing.two_fit({6: 1, 3: 1, 2: 2}, 10)
+    first = sorted(x[2] for x in expand(runs) if x[0] == 0)
+    assert first == [2, 2, 6]
+
+
+def test_counts_cost_nothing_and_pack_densely():
+    runs = packing.two_fit({4096: 10**9, 1: 10**9, 3000: 5, 1096: 5})
+    assert len(runs) < 20
+    rng = np.random.default_rng(1)
+    lengths = Counter(np.minimum(4096, rng.lognormal(6, 1.2, 20_000).astype(int) + 1).tolist())
+    used = max(s for s, _, _ in expand(packing.two_fit(dict(lengths)))) + 1
+    assert used <= 1.002 * sum(k * v for k, v in lengths.items()) / 4096 + 1
+
+
+def test_encoder_equals_the_tokenizer():
+    tokenizer = Tokenizer.from_file(FILE)
+    tokenizer.encode_special_tokens = True
+    rng = random.Random(2)
+    odd = ["".join(rng.choice("aB \n\x1c é1'stl.İΣς<|endoftext|>日") for _ in range(60)) for _ in range(300)]
+    given = [t or "" for t in cases.texts()] + odd + ["x" * 5000, "a,. b.,. ...", "<|endoftext|> <|startoftext|>"]
+    got = packing.ChunkEncoder(FILE).block(given)
+    want = [x.ids for x in tokenizer.encode_batch(given, add_special_tokens=False)]
+    assert [np.frombuffer(g, "<u4").tolist() for g in got] == want
+
+
+def test_packed_documents_equal_brute_force(spark):
+    capacity = 50
+    tokenizer = Tokenizer.from_file(FILE)
+    want = []
+    for doc_id, text, *_ in cases.rows():
+        ids = [*tokenizer.encode(text or "", add_special_tokens=False).ids, 1]
+        for piece, at in enumerate(range(0, len(ids), capacity)):
+            cut = ids[at : at + capacity]
+            want.append((doc_id, piece, at, len(cut), zlib.crc32(np.array(cut, "<u4").tobytes())))
+    packed = packing.pack_documents(cases.docs(spark), FILE, capacity, with_ids=True)
+    rows = packed.collect()
+    key = lambda r: tuple(-1 if x is None else x for x in r)
+    assert sorted(((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in rows), key=key) == sorted(want, key=key)
+    inside = defaultdict(list)
+    for r in rows:
+        inside[r.sequence_id].append((r.offset, r.length))
+    for parts in inside.values():
+        ends = [0]
+        for offset, length in sorted(parts):
+            assert offset == ends[-1]
+            ends.append(offset + length)
+        assert ends[-1] <= capacity
+    built = {r.sequence_id: r.ids for r in packing.sequences(packed).collect()}
+    assert {s: len(i) for s, i in built.items()} == {s: sum(n for _, n in p) for s, p in inside.items()}
+
+
+def test_empty_table(spark):
+    assert packing.pack_documents(cases.empty(spark), FILE).collect() == []

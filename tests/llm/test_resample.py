@@ -1,0 +1,74 @@
+import random
+import re
+from collections import Counter
+
+import cases
+import numpy as np
+from pyspark.sql import functions as F
+
+from issueloom.llm import resample
+from issueloom.llm.common import table
+
+
+def test_ngrams_equal_brute_force():
+    given = ["A b  a\tb", "", " \n", "b", "日本 Émile x\x0by", "a b a b " * 30]
+    bucket, owner = resample.ngrams(given, 1 << 40)
+    want = []
+    for i, text in enumerate(given):
+        words = re.sub("[A-Z]", lambda m: m[0].lower(), text).encode().split()
+        want += [(w, i) for w in words] + [(pair, i) for pair in zip(words, words[1:], strict=False)]
+    assert sorted(owner.tolist()) == sorted(i for _, i in want)
+    # Equal n-grams share a bucket, different ones don't, and each is counted as often as it comes.
+    assert sorted(Counter(bucket.tolist()).values()) == sorted(Counter(g for g, _ in want).values())
+
+
+def test_cut_is_exact(spark):
+    rng = random.Random(6)
+    values = [rng.choice([rng.randint(-(1 << 62), 1 << 62), rng.randint(-9, 9), -(1 << 63), (1 << 63) - 1]) for _ in range(800)]
+    keys = spark.createDataFrame([(v,) for v in values], "order long")
+    ordered = sorted(values, reverse=True)
+    for k in (1, 17, 400, 799, 800):
+        cut, ties = resample.exact_cut(keys, k)
+        assert cut == ordered[k - 1] and ties == ordered[:k].count(cut)
+
+
+def test_draw_has_the_asked_size_and_prefers_the_target(spark):
+    rows = [(i, ("good fine words " if i % 2 else "junk noise bits ") * 5 + str(i)) for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    labels = docs.selectExpr("doc_id", "cast(doc_id % 2 AS int) AS quality", "'x' AS text").filter("doc_id < 100")
+    got = resample.resample(docs, labels, drawn=0.25)
+    kept = [r.doc_id for r in got.collect() if r.kept]
+    assert len(kept) == 100 and np.mean([i % 2 for i in kept]) > 0.95
+    again = resample.resample(docs.repartition(7), labels, drawn=0.25)
+    assert sorted(kept) == sorted(r.doc_id for r in again.collect() if r.kept)
+
+
+def test_weights_equal_brute_force(spark):
+    docs = cases.docs(spark, extra_ids=False)
+    labels = spark.createDataFrame([(0, 1), (1, 0), (2, 1), (2, 1), (None, 1)], "doc_id long, quality int")
+    got = {r.doc_id: r.log_weight for r in resample.resample(docs, labels, buckets=500).collect()}
+    given = [(r[0], r[1] or "") for r in cases.rows(extra_ids=False)]
+    raw, target = np.ones(500), np.ones(500)
+    for i, text in given:
+        counts = np.bincount(resample.ngrams([text], 500)[0], minlength=500)
+        raw += counts
+        target += counts * (i in (0, 2))
+    ratio = np.log(target / target.sum()) - np.log(raw / raw.sum())
+    for i, text in given:
+        assert abs(got[i] - ratio[resample.ngrams([text], 500)[0]].sum()) < 1e-6 * (1 + len(text))
+
+
+def test_cases_no_labels_and_empty(spark):
+    none = spark.createDataFrame([], "doc_id long, quality int")
+    rows = resample.resample(cases.docs(spark), none, drawn=0.5).collect()
+    assert len(rows) == len(cases.rows()) and {r.log_weight for r in rows} == {0.0}
+    assert sum(r.kept for r in rows) == round(0.5 * len(rows))
+    assert resample.resample(cases.empty(spark), none).collect() == []
+
+
+def test_good_documents_of_the_test_table_are_drawn(spark):
+    sf = "/root/testdata/sf0.01"
+    labels = table(spark, sf, "labels")
+    drawn = resample.resample(table(spark, sf, "documents"), labels).join(labels, "doc_id")
+    share = {r.quality: r.s for r in drawn.groupBy("quality").agg(F.avg(F.col("kept").cast("int")).alias("s")).collect()}
+    assert share[1] > 0.9 and share[0] < 0.4
