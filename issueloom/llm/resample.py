@@ -35,7 +35,7 @@ LEVELS = (48, 32, 16, 0)
 #: An odd multiplier and its inverse modulo 2^64, for rolling hashes.
 STEP = 0x9E3779B97F4A7C15
 BACK = pow(STEP, -1, 1 << 64)
-BLOCK_BYTES = 1 << 22
+BLOCK_BYTES = 1 << 20
 
 
 def _powers(base: int, n: int) -> np.ndarray:

@@ -62,7 +62,7 @@ def ngram_buckets(texts: list[str], orders=ORDERS, buckets: int = BUCKETS):
             yield mixed[whole], owner[: len(rolled)][whole]
 
 
-def _blocks(texts: list[str], most: int = 1 << 22):
+def _blocks(texts: list[str], most: int = 1 << 20):
     """Runs of texts of about `most` code points together; a longer text is alone."""
     start = size = 0
     for at, text in enumerate(texts):
