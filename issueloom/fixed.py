@@ -28,6 +28,13 @@ UNIT_DAYS = {"y": 365, "m": 30, "d": 1}
 FALLBACK_DAYS = 730
 
 # Texts of the report.
+SUMMARY_LABELS = {
+    "total_issues": "Total Issues Analyzed",
+    "p0": "P0 Issues",
+    "p1": "P1 Issues",
+    "p2": "P2 Issues",
+    "duplicate_groups": "Duplicate Groups",
+}
 TABLE_HEAD = ["| ID | Title | Priority | Reasoning |", "| --- | --- | --- | --- |"]
 NO_ISSUES = "No issues found."
 NO_DUPLICATES = "No duplicates found."

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from issueloom.fixed import PRIORITY_LEVELS
+from issueloom.fixed import DEFAULT_CATEGORIES, PRIORITY_LEVELS
 from issueloom.functions.text import is_blank
 
 
@@ -27,16 +27,23 @@ def validate_scored(df: DataFrame, with_score: bool = True) -> DataFrame:
     """Check priority level, category and score. `with_score=False` checks a classification."""
     reason = F.when(
         F.col("priority_level").isNull() | ~F.col("priority_level").isin(PRIORITY_LEVELS),
-        F.concat(F.lit("Invalid priority_level: "), F.coalesce("priority_level", F.lit("None"))),
-    ).when(F.coalesce(F.col("category"), F.lit("")) == "", F.lit("category must be non-empty"))
+        F.concat(F.lit("unknown priority level "), F.coalesce("priority_level", F.lit("(null)"))),
+    ).when(F.coalesce(F.col("category"), F.lit("")) == "", F.lit("no category"))
     if with_score:
-        reason = reason.when(F.col("score").isNull(), F.lit("score must be numeric"))
+        reason = reason.when(F.col("score").isNull(), F.lit("no score"))
     return df.withColumn("reason", reason)
 
 
 def vocabulary_rejects(df: DataFrame, value: str) -> DataFrame:
     """Rows whose value cannot enter a vocabulary."""
-    return df.filter(is_blank(value)).withColumn("reason", F.lit("value must be a non-empty string"))
+    return df.filter(is_blank(value)).withColumn("reason", F.lit("blank value"))
+
+
+def category_vocabulary(spark: SparkSession, categories: list[str] | None = None) -> DataFrame:
+    """The categories `(value, pos)` to sort issues into, each once; the default ones when none are given."""
+    given = DEFAULT_CATEGORIES if categories is None else categories
+    rows = spark.createDataFrame([(name, pos) for pos, name in enumerate(given)], "value string, pos int")
+    return first_seen_distinct(rows, "value", "pos")
 
 
 def first_seen_distinct(df: DataFrame, value: str, order: str, strict: bool = False) -> DataFrame:
@@ -47,7 +54,7 @@ def first_seen_distinct(df: DataFrame, value: str, order: str, strict: bool = Fa
     blank = is_blank(value)
     keep: Column = ~blank
     if strict:
-        keep = F.when(blank, F.raise_error(F.lit("value must be a non-empty string")).isNotNull()).otherwise(
+        keep = F.when(blank, F.raise_error(F.lit("blank value")).isNotNull()).otherwise(
             F.lit(True)
         )
     kept = df.filter(keep).select(F.col(value).alias("value"), F.col(order).alias("pos"))

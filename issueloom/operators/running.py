@@ -5,23 +5,22 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from issueloom.functions.numbers import quotient
 from issueloom.operators.durable import durable
 
-SPAN = 1000
-
 
 def exclusive_sums(
-    df: DataFrame, key: list[str], order: str, values: list[str], span: int = SPAN
+    df: DataFrame, key: list[str], order: str, values: list[str], parts: int | None = None
 ) -> DataFrame:
     """Add `before_<value>`: the sum of `value` over the rows of the same key with a smaller `order`.
 
-    `df` has one row per `(key, order)`, `order` being a whole number. The sum is taken in two levels:
-    inside spans of `span` order values, and over the span totals. The largest window task then holds
-    1/span of a key, even if one key (or, with no key, the table) holds all rows. `df` is read for both
-    levels. It is written to the checkpoint folder first, as it is small next to what it was counted from.
+    `df` has one row per `(key, order)`. Its rows are dealt to ranges of `(key, order)` of about equal
+    numbers of rows, however sparse the order is, and written with the number of their range. The sum is
+    taken inside the ranges, and over the totals of the ranges of a key, of which there are as many as
+    partitions. So no task holds a key, even if one key (or, with no key, the table) holds all rows.
     """
-    spans = durable(df, "ordered").withColumn("_span", quotient(order, span))
+    columns = [*key, order]
+    ranged = df.repartitionByRange(parts, *columns) if parts else df.repartitionByRange(*columns)
+    spans = durable(ranged.withColumn("_span", F.spark_partition_id()), "ordered")
     totals = spans.groupBy(*key, "_span").agg(*[F.sum(v).alias(f"_span_{v}") for v in values])
     over_spans = (
         Window.partitionBy(*key).orderBy("_span").rowsBetween(Window.unboundedPreceding, -1)

@@ -1,9 +1,8 @@
 """Joins that stay balanced when one key holds a large share of the rows.
 
-Hot keys are found with one narrow pass of the `approx_top_k` sketch, which combines on the map side and
-shuffles no keys. The sketch only decides how rows are spread. A key it misses or overstates is still
-joined in full, so results never depend on it. What it found is written to the checkpoint folder, so that
-both sides of a join, and any retry, use the same salts.
+Hot keys are found from exact counts per key, combined on the map side. The counts only decide how rows are
+spread, so results never depend on them. They are written to the checkpoint folder, so that both sides of a
+join, and any retry, use the same salts.
 """
 
 from __future__ import annotations
@@ -14,22 +13,14 @@ from pyspark.sql import functions as F
 from issueloom.operators.durable import counted
 
 HOT_ROWS = 1_000_000
-MAX_HOT_KEYS = 1024
 LOOKUP_ROWS = 100_000
 
 
 def hot_keys(df: DataFrame, keys: list[str], hot_rows: int = HOT_ROWS) -> DataFrame:
-    """Rows `(_hash, _salts)`, at most MAX_HOT_KEYS of them, for keys of `hot_rows` rows or more."""
-    sketch = df.select(F.xxhash64(*keys).alias("_key")).agg(
-        F.expr(f"approx_top_k(_key, {MAX_HOT_KEYS}, {10 * MAX_HOT_KEYS})").alias("top")
-    )
-    return (
-        sketch.select(F.inline("top"))
-        .filter(F.col("count") >= hot_rows)
-        .select(
-            F.col("item").alias("_hash"),
-            F.ceil(F.col("count") / F.lit(hot_rows)).cast("int").alias("_salts"),
-        )
+    """Rows `(_hash, _salts)` for all keys of `hot_rows` rows or more, at most rows / hot_rows of them."""
+    counts = df.groupBy(F.xxhash64(*keys).alias("_hash")).agg(F.count(F.lit(1)).alias("_rows"))
+    return counts.filter(F.col("_rows") >= hot_rows).select(
+        "_hash", F.ceil(F.col("_rows") / F.lit(hot_rows)).cast("int").alias("_salts")
     )
 
 
@@ -54,7 +45,6 @@ def salted_join(
     hot, found = counted(hot_keys(left, keys, hot_rows), "hot-keys")
     if found == 0:
         return left.join(right, keys, how)
-    hot = F.broadcast(hot)
     salted_left = (
         left.withColumn("_hash", F.xxhash64(*keys))
         .join(hot, "_hash", "left")

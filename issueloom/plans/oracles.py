@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from issueloom.operators.model import RUBRIC
 from issueloom.plans.queries import (
     DOC_PROMPT,
     GLOBAL_LIMIT,
     ISSUE_PROMPT,
     LARGE_LIMIT,
     PER_REPO_LIMIT,
+    PREAMBLE,
     SIMILARITY,
     SINCE,
     TALLY_LIMIT,
@@ -25,6 +25,10 @@ v_issue AS (
          'https://x/' || o_orderkey AS html_url, o_totalprice AS score
   FROM orders)"""
 
+# Repository 8 has no text, and repository 7 a second, longer one.
+IN_LOOKBACK = """updated_at >= TIMESTAMP '2001-08-01 00:00:00' - to_days(CAST(CASE repo_pos WHEN 8 THEN 730 WHEN 7 THEN 180
+          ELSE CASE repo_pos % 5 WHEN 0 THEN 730 WHEN 1 THEN 180 WHEN 2 THEN 30 WHEN 3 THEN 365 ELSE 730 END END AS INTEGER))"""
+
 V_REACTION = """
 v_reaction AS (
   SELECT i.repo, i.number, l_linenumber,
@@ -59,6 +63,12 @@ v_last AS (
   SELECT * FROM v_log
   QUALIFY row_number() OVER (PARTITION BY repo, issue_id ORDER BY batch_id DESC, pos DESC) = 1)"""
 
+# The lists of all pages, merged entry by entry.
+V_URGENT = """
+v_urgent AS (
+  SELECT *, CAST(row_number() OVER (ORDER BY pos, repo, page) - 1 AS INTEGER) AS rank
+  FROM v_issue WHERE pos < 20 QUALIFY rank < 20)"""
+
 V_DUP = """
 v_dup AS (
   SELECT 'acme/r' || (o_custkey % 10) AS repo, CAST(0 AS BIGINT) AS batch_id, o_orderkey // 40 AS group_pos,
@@ -66,7 +76,7 @@ v_dup AS (
          CASE WHEN o_orderkey % 13 = 0 THEN o_orderkey + 1000000000 ELSE o_orderkey END AS issue_id
   FROM orders),
 v_dup_line AS (
-  SELECT d.repo, batch_id, group_pos, CAST(0 AS BIGINT) AS part,
+  SELECT d.repo, batch_id, group_pos,
          '- ' || string_agg(CASE WHEN i.number IS NULL THEN '#' || issue_id
                  ELSE '[#' || issue_id || '](' || html_url || ') - ' || replace(title, '|', '\\|') END,
                  ', ' ORDER BY member_pos) AS line
@@ -158,8 +168,81 @@ def select(ctes: list[str], body: str, recursive: bool = False) -> str:
     return f"WITH {'RECURSIVE ' if recursive else ''}{','.join(ctes)}\n{body}"
 
 
+def triage(within: str, recent: str, bullets: str) -> str:
+    """The whole run. `bullets` is CTE `v_bullet`: the lines of the groups, `head` 1 for the first of each."""
+    ctes = [
+        V_ISSUE,
+        LANDED,
+        V_REACTION,
+        f"""
+v_found AS (
+  SELECT *, row_number() OVER (PARTITION BY repo ORDER BY page, pos) AS place_in_repo FROM v_landed
+  WHERE NOT is_pr AND state = 'open' AND {recent}),
+v_block AS (
+  SELECT l.repo, l.repo_pos, l.page, l.pos, l.number, l.title, l.html_url,
+         {block("coalesce(total, 0)", "coalesce(positive, 0)", "coalesce(CAST(comments AS VARCHAR), 'None')", "created_text")} AS block
+  FROM v_found l LEFT JOIN v_count USING (repo, number) WHERE {within})""",
+        batches("v_block", *ISSUE_PROMPT),
+        """
+v_judged AS (
+  SELECT *, number AS issue_id, CASE WHEN number % 5 <> 4 THEN 'P' || (number % 5) END AS priority,
+         'r | ' || number AS reasoning, CAST(CASE number % 5 WHEN 0 THEN 0 WHEN 1 THEN 1 WHEN 3 THEN 3 ELSE 2 END AS INTEGER) AS rank
+  FROM v_batched),
+v_urgent_list AS (
+  SELECT *, row_number() OVER (PARTITION BY repo, batch_id ORDER BY page, pos) - 1 AS list_pos
+  FROM v_judged WHERE number % 7 = 0),
+v_first AS (
+  SELECT *, CAST(row_number() OVER (ORDER BY list_pos, repo_pos, repo, batch_id) - 1 AS INTEGER) AS list_rank
+  FROM v_urgent_list WHERE list_pos < 20 QUALIFY list_rank < 20)""",
+        bullets,
+    ]
+    return select(
+        ctes,
+        f"""SELECT 1 AS section, CAST(NULL AS INTEGER) AS rank, unnest([
+          '- Total Issues Analyzed: ' || (SELECT count(*) FROM v_judged),
+          '- P0 Issues: ' || (SELECT count(*) FROM v_judged WHERE priority = 'P0'),
+          '- P1 Issues: ' || (SELECT count(*) FROM v_judged WHERE priority = 'P1'),
+          '- P2 Issues: ' || (SELECT count(*) FROM v_judged WHERE priority = 'P2'),
+          '- Duplicate Groups: ' || (SELECT coalesce(sum(head), 0) FROM v_bullet)]) AS line
+        UNION ALL SELECT 2, NULL, unnest(['', '## Top 20 Urgent Issues'])
+        UNION ALL SELECT 3, NULL, unnest(['| ID | Title | Priority | Reasoning |', '| --- | --- | --- | --- |'])
+        UNION ALL SELECT 4, list_rank, {V_TABLE_LINE} FROM v_first
+        UNION ALL SELECT 5, NULL, unnest(['', '## All Issues (Sorted by Priority)'])
+        UNION ALL SELECT 6, NULL, unnest(['| ID | Title | Priority | Reasoning |', '| --- | --- | --- | --- |'])
+        UNION ALL SELECT 7, rank, {V_TABLE_LINE} FROM v_judged
+        UNION ALL SELECT 8, NULL, unnest(['', '## Potential Duplicate Issues'])
+        UNION ALL SELECT 9, NULL, line FROM v_bullet""",
+    )
+
+
+SIMILAR = select([V_DOC, V_PAIRS], "SELECT * FROM v_pair")
+GROUPS = select(
+        [
+            V_DOC,
+            V_PAIRS,
+            """
+v_link AS MATERIALIZED (
+  SELECT {'repo': repo_a, 'number': number_a} AS x, {'repo': repo_b, 'number': number_b} AS y FROM v_pair
+  UNION SELECT {'repo': repo_b, 'number': number_b}, {'repo': repo_a, 'number': number_a} FROM v_pair),
+v_reach AS (SELECT x, y FROM v_link UNION SELECT r.x, l.y FROM v_reach r JOIN v_link l ON r.y = l.x),
+v_root AS (SELECT x, min(y) AS root FROM v_reach GROUP BY x)""",
+        ],
+        """SELECT root.repo AS group_repo, root.number AS group_number, x.repo AS repo, x.number AS number
+        FROM (SELECT x, least(root, x) AS root FROM v_root)""",
+        recursive=True,
+)
+
 ORACLES: dict[str, str] = {
     "explode_pages": select([V_ISSUE, LANDED], "SELECT repo, page, place AS pos, number, title FROM v_landed"),
+    "page_rejects": select(
+        [V_ISSUE, LANDED],
+        """SELECT repo, page, CAST(place AS INTEGER) + CASE WHEN page % 10 = 6 THEN 2 ELSE 0 END AS pos,
+          'number cannot be read' AS reason FROM v_landed WHERE number % 64 = 5 AND page % 10 NOT IN (3, 4, 5)
+        UNION ALL SELECT DISTINCT repo, page, unnest([0, 1]), 'element is not an object' FROM v_issue WHERE page % 10 = 6
+        UNION ALL SELECT DISTINCT repo, page, CAST(NULL AS INTEGER),
+          CASE WHEN page % 10 = 4 THEN 'page is not an array' ELSE 'page is not valid JSON' END
+          FROM v_issue WHERE page % 10 IN (3, 4, 5)""",
+    ),
     "explode_reactions": select([V_ISSUE, V_REACTION], "SELECT repo, number, content FROM v_reaction"),
     "first_seen_distinct": select(
         [V_DOC],
@@ -175,8 +258,7 @@ ORACLES: dict[str, str] = {
     "lookback_filter": select(
         [V_ISSUE],
         """SELECT repo, number, created_text FROM v_issue
-        WHERE updated_at >= TIMESTAMP '2001-08-01 00:00:00' - to_days(CAST(
-          CASE repo_pos % 5 WHEN 0 THEN 730 WHEN 1 THEN 180 WHEN 2 THEN 30 WHEN 3 THEN 365 ELSE 730 END AS INTEGER))""",
+        WHERE """ + IN_LOOKBACK,
     ),
     "normalize_issue": select(
         [V_ISSUE, LANDED],
@@ -204,16 +286,16 @@ v_written AS (SELECT number, CASE number % 3 WHEN 0 THEN repo WHEN 1 THEN repo |
         ],
         """SELECT number, repo, CASE WHEN number % 3 <> 2 THEN 'acme' END AS owner,
         CASE WHEN number % 3 <> 2 THEN substr(repo, 6) END AS name,
-        CASE WHEN number % 3 = 2 THEN 'Invalid repo format: ' || repo || '. Expected ''owner/name''.' END AS reason
+        CASE WHEN number % 3 = 2 THEN 'no slash in repository ' || repo END AS reason
         FROM v_written""",
     ),
     "validate_scored": select(
         [V_SCORED],
         """SELECT repo, number, category, priority_level, score,
         CASE WHEN priority_level IS NULL OR priority_level NOT IN ('P0', 'P1', 'P2')
-             THEN 'Invalid priority_level: ' || coalesce(priority_level, 'None')
-             WHEN category = '' THEN 'category must be non-empty'
-             WHEN score IS NULL THEN 'score must be numeric' END AS reason
+             THEN 'unknown priority level ' || coalesce(priority_level, '(null)')
+             WHEN category = '' THEN 'no category'
+             WHEN score IS NULL THEN 'no score' END AS reason
         FROM v_scored""",
     ),
     "attach_reactions": select(
@@ -227,10 +309,9 @@ v_written AS (SELECT number, CASE number % 3 WHEN 0 THEN repo WHEN 1 THEN repo |
         FROM v_priority p JOIN v_issue i ON p.repo = i.repo AND issue_id = number WHERE NOT is_pr""",
     ),
     "urgent_rows": select(
-        [V_ISSUE, V_LOG],
-        """SELECT l.repo, l.issue_id, page AS batch_id, i.pos, priority, reasoning, title, html_url
-        FROM v_issue i JOIN v_last l ON i.repo = l.repo AND i.number = l.issue_id
-        WHERE i.pos < 20 AND number % 7 <> 0""",
+        [V_ISSUE, V_LOG, V_URGENT],
+        """SELECT u.repo, l.issue_id, page AS batch_id, u.pos, priority, reasoning, title, html_url, rank
+        FROM v_urgent u JOIN v_last l ON u.repo = l.repo AND u.number = l.issue_id WHERE number % 7 <> 0""",
     ),
     "duplicate_members": select(
         [V_ISSUE, V_DUP],
@@ -252,7 +333,7 @@ v_written AS (SELECT number, CASE number % 3 WHEN 0 THEN repo WHEN 1 THEN repo |
         FROM v_issue""",
     ),
     "category_counts": select(
-        [V_SCORED], "SELECT category, count(*) AS n FROM v_scored WHERE category <> '' GROUP BY category"
+        [V_SCORED], "SELECT category, count(*) AS n FROM v_scored GROUP BY category"
     ),
     "report_summary": select(
         [V_ISSUE, V_PRIORITY, V_DUP],
@@ -280,6 +361,7 @@ v_run AS (SELECT *, CAST(sum(kept) OVER (ORDER BY repo_pos) AS BIGINT) AS runnin
         f"""SELECT repo_pos, page, pos, number FROM v_issue WHERE NOT is_pr
         ORDER BY repo_pos, page, pos LIMIT {GLOBAL_LIMIT}""",
     ),
+    "limit_global_none": select([V_ISSUE], "SELECT repo_pos, page, pos, number FROM v_issue WHERE NOT is_pr"),
     "limit_global_by_counts": select(
         [V_ISSUE],
         f"""SELECT repo_pos, page, pos, number FROM v_issue WHERE NOT is_pr
@@ -329,7 +411,7 @@ v_page AS (SELECT repo, page, CAST(sum(chars) + count(*) + 1 AS BIGINT) AS chars
     ),
     "duplicate_lines": select([V_ISSUE, V_DUP], "SELECT * FROM v_dup_line"),
     "report_lines": select(
-        [V_ISSUE, V_PRIORITY, V_DUP],
+        [V_ISSUE, V_PRIORITY, V_DUP, V_URGENT],
         f"""SELECT 1 AS section, CAST(NULL AS INTEGER) AS rank, unnest([
           '- Total Issues Analyzed: ' || (SELECT count(*) FROM v_issue),
           '- P0 Issues: ' || (SELECT count(*) FROM v_priority WHERE priority = 'P0'),
@@ -338,9 +420,8 @@ v_page AS (SELECT repo, page, CAST(sum(chars) + count(*) + 1 AS BIGINT) AS chars
           '- Duplicate Groups: ' || (SELECT count(*) FROM v_dup_line)]) AS line
         UNION ALL SELECT 2, NULL, unnest(['', '## Top 20 Urgent Issues'])
         UNION ALL SELECT 3, NULL, unnest(['| ID | Title | Priority | Reasoning |', '| --- | --- | --- | --- |'])
-        UNION ALL SELECT 4, rank, {V_TABLE_LINE}
-          FROM (SELECT * FROM v_ranked ORDER BY rank, repo, batch_id, pos LIMIT 20) p
-          JOIN v_issue i ON p.repo = i.repo AND issue_id = number
+        UNION ALL SELECT 4, u.rank, {V_TABLE_LINE}
+          FROM v_urgent u JOIN v_priority p ON p.repo = u.repo AND issue_id = number WHERE number % 7 <> 0
         UNION ALL SELECT 5, NULL, unnest(['', '## All Issues (Sorted by Priority)'])
         UNION ALL SELECT 6, NULL, unnest(['| ID | Title | Priority | Reasoning |', '| --- | --- | --- | --- |'])
         UNION ALL SELECT 7, rank, {V_TABLE_LINE}
@@ -362,6 +443,7 @@ v_sound AS (
           CASE WHEN number % 5 <> 4 THEN 'P' || (number % 5) END AS priority, 'r ' || number AS reasoning,
           CAST(NULL AS VARCHAR) AS reason FROM v_sound WHERE number % 17 <> 0
         UNION ALL SELECT 'duplicate', repo, batch_id, 0, place, number, NULL, NULL, NULL FROM v_sound
+        UNION ALL SELECT DISTINCT 'group', repo, batch_id, unnest([0, 1]), NULL, NULL, NULL, NULL, NULL FROM v_sound
         UNION ALL SELECT 'urgent', repo, batch_id, back, NULL, number, NULL, NULL, NULL FROM v_sound
         UNION ALL SELECT 'reject', repo, batch_id, place, NULL, NULL, NULL, NULL, 'priority without a numeric id'
           FROM v_sound WHERE number % 17 = 0
@@ -378,7 +460,7 @@ v_block AS (SELECT repo, page, pos, {block("'None'", "'None'", "'None'", "'None'
             batches("v_block", *DOC_PROMPT),
         ],
         f"""SELECT repo, batch_id, count(*) AS n_issues,
-        {quoted(RUBRIC)} || string_agg(block, '' ORDER BY page, pos) AS prompt
+        {quoted(PREAMBLE)} || string_agg(block, '' ORDER BY page, pos) AS prompt
         FROM v_batched GROUP BY repo, batch_id""",
     ),
     "apply_model": select(
@@ -399,57 +481,29 @@ v_grouped AS (SELECT repo, batch_id, string_agg(members, ',' ORDER BY g) AS text
         FROM v_batched b LEFT JOIN v_grouped g ON b.repo = g.repo AND b.batch_id = g.batch_id
         GROUP BY b.repo, b.batch_id""",
     ),
-    "similar_pairs": select([V_DOC, V_PAIRS], "SELECT * FROM v_pair"),
-    "duplicate_groups": select(
-        [
-            V_DOC,
-            V_PAIRS,
-            """
-v_link AS MATERIALIZED (
-  SELECT {'repo': repo_a, 'number': number_a} AS x, {'repo': repo_b, 'number': number_b} AS y FROM v_pair
-  UNION SELECT {'repo': repo_b, 'number': number_b}, {'repo': repo_a, 'number': number_a} FROM v_pair),
-v_reach AS (SELECT x, y FROM v_link UNION SELECT r.x, l.y FROM v_reach r JOIN v_link l ON r.y = l.x),
-v_root AS (SELECT x, min(y) AS root FROM v_reach GROUP BY x)""",
-        ],
-        """SELECT root.repo AS group_repo, root.number AS group_number, x.repo AS repo, x.number AS number
-        FROM (SELECT x, least(root, x) AS root FROM v_root)""",
-        recursive=True,
-    ),
-    "triage_report": select(
-        [
-            V_ISSUE,
-            LANDED,
-            V_REACTION,
-            f"""
-v_block AS (
-  SELECT l.repo, l.repo_pos, l.page, l.pos, l.number, l.title, l.html_url,
-         {block("coalesce(total, 0)", "coalesce(positive, 0)", "coalesce(CAST(comments AS VARCHAR), 'None')", "created_text")} AS block
-  FROM v_landed l LEFT JOIN v_count USING (repo, number)
-  WHERE NOT is_pr AND state = 'open' AND updated_at >= TIMESTAMP '{SINCE}')""",
-            batches("v_block", *ISSUE_PROMPT),
-            """
-v_judged AS (
-  SELECT *, number AS issue_id, CASE WHEN number % 5 <> 4 THEN 'P' || (number % 5) END AS priority,
-         'r | ' || number AS reasoning, CAST(CASE number % 5 WHEN 0 THEN 0 WHEN 1 THEN 1 WHEN 3 THEN 3 ELSE 2 END AS INTEGER) AS rank
-  FROM v_batched),
+    "similar_pairs": SIMILAR,
+    "similar_pairs_split": SIMILAR,
+    "duplicate_groups": GROUPS,
+    "duplicate_groups_split": GROUPS,
+    "triage_report": triage(
+        "True",
+        f"updated_at >= TIMESTAMP '{SINCE}'",
+        """
 v_bullet AS (
-  SELECT '- ' || string_agg('[#' || number || '](' || html_url || ') - ' || replace(title, '|', '\\|'), ', ' ORDER BY number) AS line
+  SELECT '- ' || string_agg('[#' || number || '](' || html_url || ') - ' || replace(title, '|', '\\|'), ', ' ORDER BY number) AS line,
+         1 AS head
   FROM v_batched GROUP BY repo, batch_id, number // 40 HAVING count(*) > 1)""",
-        ],
-        f"""SELECT 1 AS section, CAST(NULL AS INTEGER) AS rank, unnest([
-          '- Total Issues Analyzed: ' || (SELECT count(*) FROM v_judged),
-          '- P0 Issues: ' || (SELECT count(*) FROM v_judged WHERE priority = 'P0'),
-          '- P1 Issues: ' || (SELECT count(*) FROM v_judged WHERE priority = 'P1'),
-          '- P2 Issues: ' || (SELECT count(*) FROM v_judged WHERE priority = 'P2'),
-          '- Duplicate Groups: ' || (SELECT count(*) FROM v_bullet)]) AS line
-        UNION ALL SELECT 2, NULL, unnest(['', '## Top 20 Urgent Issues'])
-        UNION ALL SELECT 3, NULL, unnest(['| ID | Title | Priority | Reasoning |', '| --- | --- | --- | --- |'])
-        UNION ALL SELECT 4, rank, {V_TABLE_LINE}
-          FROM (SELECT * FROM v_judged ORDER BY rank, repo_pos, repo, batch_id, page, pos LIMIT 20)
-        UNION ALL SELECT 5, NULL, unnest(['', '## All Issues (Sorted by Priority)'])
-        UNION ALL SELECT 6, NULL, unnest(['| ID | Title | Priority | Reasoning |', '| --- | --- | --- | --- |'])
-        UNION ALL SELECT 7, rank, {V_TABLE_LINE} FROM v_judged
-        UNION ALL SELECT 8, NULL, unnest(['', '## Potential Duplicate Issues'])
-        UNION ALL SELECT 9, NULL, line FROM v_bullet""",
+    ),
+    "triage_report_limited": triage(
+        f"place_in_repo <= {PER_REPO_LIMIT}",
+        IN_LOOKBACK,
+        """
+v_run AS (
+  SELECT repo, number, html_url, title, number // 40 AS g, batch_id FROM v_batched
+  QUALIFY count(*) OVER (PARTITION BY repo, batch_id, number // 40) > 1),
+v_bullet AS (
+  SELECT CASE WHEN number = min(number) OVER w THEN '- ' ELSE '  , ' END || '[#' || number || '](' || html_url || ') - '
+         || replace(title, '|', '\\|') AS line, CAST(number = min(number) OVER w AS INTEGER) AS head
+  FROM v_run WINDOW w AS (PARTITION BY repo, batch_id, g))""",
     ),
 }

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from issueloom.functions.json import array_field, label_names, whole_number
 from issueloom.operators import filters, groups, ingest, limits, model, quality, reactions, report, similar
-from issueloom.operators.durable import durable
+from issueloom.operators.durable import counted, durable
 from issueloom.plans import tables
 from issueloom.plans.report import report_lines as assemble
 from issueloom.plans.standin import standin
@@ -23,7 +23,7 @@ LARGE_LIMIT = 5_000
 PER_REPO_LIMIT = 100
 DOC_PROMPT = (20, 30_000)
 ISSUE_PROMPT = (50, 5_000)
-WHOLE_LIMIT = 1_000_000
+PREAMBLE = "Judge these issues.\n\n"
 SIMILARITY = (4, 5)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -39,6 +39,10 @@ def utc_text(column: str, name: str):
     return F.date_format(F.to_utc_timestamp(column, F.current_timezone()), "yyyy-MM-dd HH:mm:ss").alias(name)
 
 
+def named_groups(members: DataFrame) -> DataFrame:
+    return members.select("repo", "batch_id", "group_pos").distinct()
+
+
 def joined_labels(column: str):
     return F.array_join(column, ",", "<null>").alias(column)
 
@@ -56,6 +60,11 @@ def explode_pages(spark, sf):
     )
 
 
+@query
+def page_rejects(spark, sf):
+    return ingest.page_rejects(tables.broken_pages(spark, sf))
+
+
 @query
 def explode_reactions(spark, sf):
     return ingest.explode_reactions(tables.reaction_pages(spark, sf))
@@ -73,9 +82,9 @@ def report_lines(spark, sf):
     members = tables.duplicates(spark, sf)
     lines = assemble(
         report.report_summary(issues, priorities, members.select("repo", "batch_id", "group_pos")),
-        report.top_urgent_fallback(priorities, issues, tables.urgent(spark, sf).limit(0)),
+        report.top_urgent(tables.urgent(spark, sf), priorities, issues),
         report.enrich_priorities(priorities, issues),
-        report.duplicate_lines(report.duplicate_members(members, issues)),
+        report.duplicate_lines(named_groups(members), report.duplicate_members(members, issues)),
     )
     return lines.select("section", "rank", "line")
 
@@ -211,7 +220,7 @@ def reaction_counts_from_summary(spark, sf):
 
 @query
 def category_counts(spark, sf):
-    return report.category_counts(tables.scored(spark, sf))
+    return report.category_counts(tables.scored(spark, sf, labelled_only=False))
 
 
 @query
@@ -232,10 +241,16 @@ def limit_global(spark, sf):
     return limits.limit_global(issues, GLOBAL_LIMIT).select("repo_pos", "page", "pos", "number")
 
 
+@query
+def limit_global_none(spark, sf):
+    issues = tables.issues(spark, sf).filter(~F.col("is_pr"))
+    return limits.limit_global(issues, None).select("repo_pos", "page", "pos", "number")
+
+
 @query
 def limit_global_by_counts(spark, sf):
     issues = tables.issues(spark, sf).filter(~F.col("is_pr"))
-    kept = limits.limit_global(issues, LARGE_LIMIT, top_n_rows=GLOBAL_LIMIT)
+    kept = limits.limit_global(issues, LARGE_LIMIT)
     return kept.select("repo_pos", "page", "pos", "number")
 
 
@@ -259,7 +274,8 @@ def sort_by_priority(spark, sf):
 @query
 def top_urgent_fallback(spark, sf):
     issues = tables.issues(spark, sf).filter(~F.col("is_pr"))
-    no_list = tables.urgent(spark, sf).limit(0)
+    # Lists whose ids are all unknown numbers of another tracker count as none.
+    no_list = tables.urgent(spark, sf).filter("issue_id < 0")
     return report.top_urgent_fallback(tables.priorities(spark, sf), issues, no_list)
 
 
@@ -290,8 +306,9 @@ def report_rows(spark, sf):
 
 @query
 def duplicate_lines(spark, sf):
+    members = tables.duplicates(spark, sf)
     return report.duplicate_lines(
-        report.duplicate_members(tables.duplicates(spark, sf), tables.issues(spark, sf))
+        named_groups(members), report.duplicate_members(members, tables.issues(spark, sf))
     )
 
 
@@ -313,6 +330,7 @@ def parse_analysis(spark, sf):
 
     return (
         rows("priority", parsed.priorities)
+        .unionByName(rows("group", parsed.groups))
         .unionByName(rows("duplicate", parsed.duplicates))
         .unionByName(rows("urgent", parsed.urgent))
         .unionByName(rows("reject", parsed.rejects))
@@ -324,15 +342,15 @@ def pack_prompts(spark, sf):
     rows = tables.docs(spark, sf).withColumns(
         {c: F.lit(None) for c in ("reactions_total", "reactions_positive", "comments", "created_text")}
     )
-    return model.pack_prompts(model.render_prompt_block(rows), *DOC_PROMPT)
+    return model.pack_prompts(model.render_prompt_block(rows), *DOC_PROMPT, PREAMBLE)
 
 
 @query
 def apply_model(spark, sf):
-    counted = reactions.attach_reactions(tables.issues(spark, sf), tables.reactions(spark, sf))
-    blocks = durable(model.render_prompt_block(counted).select("repo", "page", "pos", "block"), "blocks")
-    prompts = model.pack_prompts(blocks, *ISSUE_PROMPT)
-    return model.apply_model(prompts, standin(), concurrency=8)
+    issues = reactions.attach_reactions(tables.issues(spark, sf), tables.reactions(spark, sf))
+    blocks = durable(model.render_prompt_block(issues).select("repo", "page", "pos", "block"), "blocks")
+    prompts, n_prompts = counted(model.pack_prompts(blocks, *ISSUE_PROMPT, PREAMBLE), "prompts")
+    return model.apply_model(prompts, standin(), n_prompts=n_prompts)
 
 
 @query
@@ -345,6 +363,19 @@ def duplicate_groups(spark, sf):
     return groups.duplicate_groups(similar.similar_links(tables.docs(spark, sf), *SIMILARITY))
 
 
+@query
+def similar_pairs_split(spark, sf):
+    """As `similar_pairs`, with thresholds so low that keys are paired, cut into cells, and joins salted."""
+    return similar.similar_pairs(tables.docs(spark, sf), *SIMILARITY, frequent=20, bucket_rows=20, hot_rows=500)
+
+
+@query
+def duplicate_groups_split(spark, sf):
+    """As `duplicate_groups`, with thresholds so low that every skew path runs."""
+    links = similar.similar_links(tables.docs(spark, sf), *SIMILARITY, frequent=20, bucket_rows=20, hot_rows=500)
+    return groups.duplicate_groups(links, hot_rows=500)
+
+
 @query
 def triage_report(spark, sf):
     done = run_triage(
@@ -353,10 +384,29 @@ def triage_report(spark, sf):
         tables.reactions(spark, sf),
         standin(),
         since=SINCE,
-        limit=WHOLE_LIMIT,
+        preamble=PREAMBLE,
+        limit=None,
+        max_issues=ISSUE_PROMPT[0],
+        max_chars=ISSUE_PROMPT[1],
+    )
+    return done.lines.select("section", "rank", "line")
+
+
+@query
+def triage_report_limited(spark, sf):
+    """As `triage_report`, with a limit per repository, a lookback, and groups joined across prompts."""
+    done = run_triage(
+        tables.repos(spark, sf),
+        tables.pages(spark, sf),
+        tables.reactions(spark, sf),
+        standin(),
+        preamble=PREAMBLE,
+        as_of=tables.AS_OF,
+        lookback=tables.lookback(spark, sf),
+        limit=PER_REPO_LIMIT,
+        per_repo=True,
         max_issues=ISSUE_PROMPT[0],
         max_chars=ISSUE_PROMPT[1],
-        concurrency=8,
-        similarity=SIMILARITY,
+        similarity=(1, 1),
     )
     return done.lines.select("section", "rank", "line")

@@ -53,10 +53,13 @@ def repos(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def lookback(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A text per repository, but none for repository 8, and a second, longer one for repository 7."""
     text = F.element_at(
         F.array(*[F.lit(t) for t in ("2y", "6m", "30d", " 1Y ", "bad")]), F.col("repo_pos") % 5 + 1
     )
-    return repos(spark, sf_dir).select("repo", text.alias("since"))
+    given = repos(spark, sf_dir).filter("repo_pos <> 8").select("repo", "repo_pos", text.alias("since"))
+    again = given.filter("repo_pos = 7").withColumn("since", F.lit("6m"))
+    return given.unionByName(again).drop("repo_pos")
 
 
 def reactions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -172,6 +175,13 @@ def pages(spark: SparkSession, sf_dir: str, reshaped: bool = False) -> DataFrame
     )
 
 
+def broken_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Landed pages of which some are cut off, objects or missing, or hold odd elements and numbers."""
+    body = """CASE page % 10 WHEN 3 THEN substring(body, 1, 40) WHEN 4 THEN '{"message":"gone"}' WHEN 5 THEN NULL
+      WHEN 6 THEN concat('[7,null,', substring(body, 2)) ELSE body END"""
+    return pages(spark, sf_dir, reshaped=True).withColumn("body", F.expr(body))
+
+
 def docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as issues. A file of few row groups is spread over the cores before its texts are worked on.
 
@@ -211,7 +221,7 @@ def answers(spark: SparkSession, sf_dir: str) -> DataFrame:
       ',"reasoning":"r ', number, '"}')""")
     items = F.sort_array(F.collect_list(F.struct("pos", entry.alias("entry"), "number")))
     body = """concat('{"priorities":[', array_join(items.entry, ','), '],"duplicates":[[',
-      array_join(cast(items.number AS array<string>), ','), ']],"top_urgent_issues":[',
+      array_join(cast(items.number AS array<string>), ','), '],[]],"top_urgent_issues":[',
       array_join(cast(reverse(items.number) AS array<string>), ','), ']}')"""
     return (
         issues(spark, sf_dir)

@@ -10,11 +10,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from issueloom.fixed import DEFAULT_LIMIT
-from issueloom.operators.durable import durable
+from issueloom.operators.durable import counted, durable
 from issueloom.operators.filters import lookback_filter, open_only, updated_since
 from issueloom.operators.groups import duplicate_groups, group_links
-from issueloom.operators.ingest import explode_pages, exclude_pull_requests, normalize_issue, union_repos
-from issueloom.operators.limits import TOP_N_ROWS, limit_global, limit_per_repo
+from issueloom.operators.ingest import (
+    exclude_pull_requests,
+    explode_pages,
+    normalize_issue,
+    page_rejects,
+    union_repos,
+)
+from issueloom.operators.limits import limit_global, limit_per_repo
 from issueloom.operators.model import apply_model, pack_prompts, parse_analysis, render_prompt_block, with_parsed
 from issueloom.operators.reactions import attach_reactions
 from issueloom.operators.report import (
@@ -25,8 +31,7 @@ from issueloom.operators.report import (
     group_lines,
     last_per_key,
     report_summary,
-    top_urgent_fallback,
-    urgent_rows,
+    top_urgent,
 )
 from issueloom.operators.similar import similar_links
 from issueloom.operators.skew import lookup_join
@@ -34,7 +39,7 @@ from issueloom.plans.report import report_lines
 
 
 class Triage(NamedTuple):
-    """The report lines and the tables behind them; all None when no issue was found."""
+    """The report lines and the tables behind them; None, but for the rejects, when no issue was found."""
 
     lines: DataFrame | None
     issues: DataFrame | None = None
@@ -51,9 +56,13 @@ def landed_issues(
     lookback: DataFrame | None = None,
     since: datetime | None = None,
 ) -> DataFrame:
-    """Open issues of the listed repositories, without pull requests, updated recently enough."""
+    """Open issues of the listed repositories, without pull requests, updated recently enough.
+
+    Elements whose number cannot be read are left to `page_rejects`.
+    """
     raw = exclude_pull_requests(explode_pages(union_repos(repos, pages)))
-    issues = updated_since(open_only(normalize_issue(raw)), since)
+    readable = normalize_issue(raw).filter(F.col("number").isNotNull())
+    issues = updated_since(open_only(readable), since)
     if lookback is None:
         return issues
     if as_of is None:
@@ -61,61 +70,83 @@ def landed_issues(
     return lookback_filter(issues, lookback, as_of)
 
 
+def kept_issues(found: DataFrame, limit: int | None, per_repo: bool) -> DataFrame:
+    """The found issues up to the limit, with their texts, written once.
+
+    The cut is made on a written table of places only. The issues are then read again and joined to the
+    places that are left.
+    """
+    if limit is None:
+        return durable(found, "kept")
+    place = ["repo_pos", "page", "pos"]
+    places = durable(found.select(*place), "places")
+    cut = limit_per_repo(places, limit) if per_repo else limit_global(places, limit)
+    return durable(found.join(cut, place, "left_semi"), "kept")
+
+
+def rejected(landed: DataFrame, answers: DataFrame) -> DataFrame:
+    """Unreadable pages, elements and answers in one table, with a reason."""
+    columns = {"repo": "string", "page": "long", "batch_id": "long", "pos": "int", "reason": "string"}
+
+    def shaped(df: DataFrame) -> DataFrame:
+        return df.select(
+            *[(F.col(c) if c in df.columns else F.lit(None)).cast(t).alias(c) for c, t in columns.items()]
+        )
+
+    return shaped(landed).unionByName(shaped(answers))
+
+
 def triage_report(
     repos: DataFrame,
     pages: DataFrame,
     reactions: DataFrame,
     make_model: Callable[[], Callable[[str], str | None]],
     *,
+    preamble: str,
     as_of: datetime | None = None,
     lookback: DataFrame | None = None,
     since: datetime | None = None,
-    limit: int = DEFAULT_LIMIT,
+    limit: int | None = DEFAULT_LIMIT,
     per_repo: bool = False,
     max_issues: int = 100,
     max_chars: int = 100_000,
-    concurrency: int = 64,
-    similarity: tuple[int, int] = (4, 5),
+    prompts_per_task: int = 100,
+    similarity: tuple[int, int] | None = None,
     header: list[str] | None = None,
+    strict: bool = False,
 ) -> Triage:
     """Read, limit, count reactions, ask the model, parse its answers, and lay out the report.
 
-    Three points are written to the checkpoint folder: the kept issues, so that later steps do not parse
-    the pages again, their prompt blocks, which packing reads twice, and the answers, so that the model is
-    asked once. With a single prompt the model's own
-    urgent list and duplicate groups are used. With several, urgent lists cannot be compared, so issues
-    rank by priority, and duplicates are also found across prompts by similarity.
+    The same rules hold for one prompt and for many. Urgent lists are merged entry by entry. The model's
+    duplicate groups are a bullet each. With `similarity`, a fraction, groups of all prompts are joined where
+    they overlap, and with near-duplicates that are found across prompts.
+
+    Unreadable pages, elements and answers are in `rejects`; with `strict` a bad page fails the run. Kept
+    issues, prompts and answers are written to the checkpoint folder, so that pages are not parsed again
+    and the model is asked once.
     """
-    found = landed_issues(repos, pages, as_of, lookback, since)
-    if per_repo:
-        kept = durable(limit_per_repo(durable(found, "found"), limit), "kept")
-    elif limit > TOP_N_ROWS:
-        kept = limit_global(durable(found, "found"), limit)
-    else:
-        kept = durable(limit_global(found, limit), "kept")
+    bad_pages = page_rejects(pages.join(repos.select("repo").distinct(), "repo", "left_semi"))
+    if strict and (bad := bad_pages.first()) is not None:
+        raise ValueError(f"page {bad['page']} of {bad['repo']}: {bad['reason']}")
+    kept = kept_issues(landed_issues(repos, pages, as_of, lookback, since), limit, per_repo)
     if kept.isEmpty():
-        return Triage(None)
+        return Triage(None, rejects=rejected(bad_pages, bad_pages.limit(0)))
 
-    counted = attach_reactions(kept, reactions, issues_limited=True)
-    blocks = render_prompt_block(counted).select("repo", "page", "pos", "block")
-    prompts = pack_prompts(durable(blocks, "blocks"), max_issues, max_chars)
-    answers = durable(with_parsed(apply_model(prompts, make_model, concurrency)), "answers")
-    one_prompt = answers.limit(2).count() == 1
+    blocks = render_prompt_block(attach_reactions(kept, reactions, issues_limited=True))
+    packed = pack_prompts(blocks.select("repo", "page", "pos", "block"), max_issues, max_chars, preamble)
+    prompts, n_prompts = counted(packed, "prompts")
+    answers = durable(with_parsed(apply_model(prompts, make_model, prompts_per_task, n_prompts)), "answers")
     places = repos.groupBy("repo").agg(F.min("repo_pos").alias("repo_pos"))
     analysis = parse_analysis(lookup_join(answers, places, ["repo"], "inner", spread=["batch_id"]))
 
     arrival = ["repo_pos", "page", "pos"]
     issues = last_per_key(kept.select(*KEY, "title", "html_url", *arrival), KEY, arrival)
-    top_is_list = one_prompt and not analysis.urgent.isEmpty()
-    if top_is_list:
-        top = urgent_rows(analysis.urgent, analysis.priorities, issues)
-    else:
-        no_list = analysis.urgent.limit(0)
-        top = top_urgent_fallback(analysis.priorities, issues, no_list)
-    if one_prompt:
+    issues = durable(issues, "issues")
+    top = top_urgent(analysis.urgent, analysis.priorities, issues)
+    if similarity is None:
         duplicates = duplicate_members(analysis.duplicates, issues)
-        lines = duplicate_lines(duplicates)
-        names = duplicates.select("repo", "batch_id", "group_pos")
+        lines = duplicate_lines(analysis.groups, duplicates)
+        names = analysis.groups.select("repo", "batch_id", "group_pos")
     else:
         links = group_links(analysis.duplicates)
         texts = last_per_key(kept.select(*KEY, "title", "body", *arrival), KEY, arrival)
@@ -126,10 +157,10 @@ def triage_report(
     enriched = enrich_priorities(analysis.priorities, issues)
     summary = report_summary(issues, analysis.priorities, names)
     return Triage(
-        lines=report_lines(summary, top, enriched, lines, header, top_is_list),
+        lines=report_lines(summary, top, enriched, lines, header),
         issues=issues,
         priorities=enriched,
         duplicates=duplicates,
         summary=summary,
-        rejects=analysis.rejects,
+        rejects=rejected(bad_pages, analysis.rejects),
     )

@@ -1,20 +1,5 @@
-"""Schemas of the tables that pass between operators. Nothing is inferred."""
+"""Schemas of the tables that are read or made from outside. Nothing is inferred."""
 
 PAGE = "repo string, page long, body string"
 REPO_LIST = "repo_pos int, repo string"
-REACTION_PAGE = "repo string, number long, body string"
-REACTION = "repo string, number long, content string"
-PROMPT = "repo string, batch_id long, n_issues long, prompt string"
 ANSWER = "repo string, batch_id long, response string"
-PRIORITY = "repo string, batch_id long, pos int, issue_id long, priority string, reasoning string"
-DUP_MEMBER = "repo string, batch_id long, group_pos int, member_pos int, issue_id long"
-URGENT = "repo string, batch_id long, pos int, issue_id long"
-ISSUE = (
-    "repo string, number long, title string, body string, labels array<string>, comments long, "
-    "created_at timestamp, updated_at timestamp, created_text string, state string, html_url string, "
-    "reactions_total long, reactions_positive long, raw variant, repo_pos int, page long, pos int"
-)
-SCORED = (
-    "number long, repo string, title string, category string, priority_level string, "
-    "rationale string, score double, labels array<string>, html_url string"
-)

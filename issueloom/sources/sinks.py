@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
-LINE_ORDER = ["section", "rank", "repo_pos", "repo", "batch_id", "pos", "part"]
+LINE_ORDER = ["section", "rank", "repo_pos", "repo", "batch_id", "pos", "part_repo", "part"]
 
 
 def in_report_order(lines: DataFrame) -> DataFrame:
@@ -31,6 +31,16 @@ def write_parts(parts: dict[str, DataFrame], path: str) -> None:
         table.write.mode("overwrite").parquet(f"{path.rstrip('/')}/{name}")
 
 
-def show_report(lines: DataFrame, rows: int = 100) -> None:
-    """Dry run: print the first lines of the report."""
-    in_report_order(lines).select("line").show(rows, truncate=False)
+def show_report(lines: DataFrame, rows: int | None = None) -> None:
+    """Dry run: print the report line by line, fetched part by part; with `rows`, its beginning only.
+
+    A report that is cut says how many lines are left.
+    """
+    ordered = in_report_order(lines).select("line")
+    shown = ordered if rows is None else ordered.limit(rows)
+    printed = 0
+    for row in shown.toLocalIterator():
+        print(row["line"])
+        printed += 1
+    if rows is not None and printed == rows and (left := lines.count() - printed):
+        print(f"({left} more lines)")

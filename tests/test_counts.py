@@ -1,39 +1,39 @@
 import pytest
 
+from issueloom.fixed import DEFAULT_CATEGORIES
 from issueloom.operators import quality, reactions, report
 
 
 def test_reaction_counts_and_zero_fill(spark):
-    contents = {1: ["+1", "heart", "confused"], 2: ["rocket", "eyes", "-1"]}
-    rows = [("o/a", n, c) for n, cs in contents.items() for c in cs]
+    rows = [("o/a", 1, "hooray")] * 4 + [("o/a", 1, "laugh"), ("o/a", 2, "confused"), ("o/c", 3, "eyes")]
     landed = spark.createDataFrame(rows, "repo string, number long, content string")
     issues = spark.createDataFrame([("o/a", 1), ("o/a", 2), ("o/a", 3), ("o/b", 1)], "repo string, number long")
     for limited in (False, True):
         for bound in (0, 100):
             got = reactions.attach_reactions(issues, landed, limited, bound).collect()
-            assert {tuple(r) for r in got} == {("o/a", 1, 3, 2), ("o/a", 2, 3, 2), ("o/a", 3, 0, 0), ("o/b", 1, 0, 0)}
+            assert {tuple(r) for r in got} == {("o/a", 1, 5, 4), ("o/a", 2, 1, 0), ("o/a", 3, 0, 0), ("o/b", 1, 0, 0)}
 
 
 def test_counts_from_summary(spark):
-    full = {"total_count": 7, "+1": 3, "heart": 2, "hooray": 1, "rocket": 1, "eyes": 0, "-1": 9}
+    full = {"rocket": 5, "laugh": 2, "+1": 1, "total_count": 8}
     rows = spark.createDataFrame(
         [(1, full, None, None), (2, full, 0, 0), (3, full, 4, 1), (4, None, None, None), (5, {"+1": 2}, 9, None)],
         "number long, reactions map<string,long>, reactions_total long, reactions_positive long",
     )
     got = reactions.reaction_counts_from_summary(rows).drop("reactions").collect()
-    assert sorted(tuple(r) for r in got) == [(1, 7, 7), (2, 7, 7), (3, 4, 1), (4, 0, 0), (5, 9, 2)]
+    assert sorted(tuple(r) for r in got) == [(1, 8, 6), (2, 8, 6), (3, 4, 1), (4, 0, 0), (5, 9, 2)]
 
 
 def test_first_seen_distinct(spark):
     rows = spark.createDataFrame(
-        list(enumerate(["a", "b", " ", "a", None, "c", "b", " ", ""])), "at long, v string"
+        list(enumerate(["x", None, "y", "x", "", "z z", "\t", "y"])), "at long, v string"
     )
-    assert [r.value for r in quality.first_seen_distinct(rows, "v", "at").collect()] == ["a", "b", "c"]
-    assert {r["at"] for r in quality.vocabulary_rejects(rows, "v").collect()} == {2, 4, 7, 8}
-    with pytest.raises(Exception, match="non-empty string"):
+    assert [r.value for r in quality.first_seen_distinct(rows, "v", "at").collect()] == ["x", "y", "z z"]
+    assert {r["at"] for r in quality.vocabulary_rejects(rows, "v").collect()} == {1, 4, 6}
+    with pytest.raises(Exception, match="blank value"):
         quality.first_seen_distinct(rows, "v", "at", strict=True).collect()
     with pytest.raises(Exception, match="no values remain"):
-        quality.first_seen_distinct(rows.filter("v = ' '"), "v", "at").collect()
+        quality.first_seen_distinct(rows.filter("v = ''"), "v", "at").collect()
 
 
 SCORED = "number long, category string, priority_level string, score double"
@@ -48,26 +48,33 @@ def test_validation(spark):
     good, bad = quality.split_rejects(checked)
     assert [r.number for r in good.collect()] == [1]
     assert {r.number: r.reason for r in bad.collect()} == {
-        2: "category must be non-empty",
-        3: "Invalid priority_level: P9",
-        4: "Invalid priority_level: None",
-        5: "score must be numeric",
+        2: "no category",
+        3: "unknown priority level P9",
+        4: "unknown priority level (null)",
+        5: "no score",
     }
     classified, _ = quality.split_rejects(quality.validate_scored(rows, with_score=False))
     assert sorted(r.number for r in classified.collect()) == [1, 5]
-    with pytest.raises(Exception, match="Invalid priority_level"):
+    with pytest.raises(Exception, match="unknown priority level"):
         quality.require_valid(checked.filter("number = 3")).collect()
     assert quality.require_valid(quality.validate_scored(rows.filter("number = 1"))).count() == 1
 
 
 def test_categories_and_top_scores(spark):
-    rows = [(i, "r/x", "bug" if i % 2 == 0 else "feature", float(i % 5)) for i in range(1, 15)]
+    kinds = ["test", "docs", "docs"]
+    rows = [(n, f"o/{n % 4}", kinds[n % 3], [0.5, 7.25, 7.25, -1.0][n % 4]) for n in range(30)]
     scored = spark.createDataFrame(rows, "number long, repo string, category string, score double")
-    assert {r.category: r.n for r in report.category_counts(scored).collect()} == {"bug": 7, "feature": 7}
+    assert {r.category: r.n for r in report.category_counts(scored).collect()} == {"test": 10, "docs": 20}
     want = [r[0] for r in sorted(rows, key=lambda r: (-r[3], r[0]))[:10]]
     assert [r.number for r in report.top_by_score(scored).collect()] == want
 
 
+def test_default_vocabulary(spark):
+    given = quality.category_vocabulary(spark, ["b", "a", "b", " "]).collect()
+    assert [(r.value, r.pos) for r in given] == [("b", 0), ("a", 1)]
+    assert [r.value for r in quality.category_vocabulary(spark).collect()] == DEFAULT_CATEGORIES
+
+
 def test_last_per_key(spark):
     rows = [("o/a", 1, 0, "x"), ("o/a", 1, 2, "z"), ("o/a", 1, 1, "y"), ("o/b", 1, 0, "w")]
     df = spark.createDataFrame(rows, "repo string, number long, at long, v string")

@@ -6,35 +6,25 @@ import pytest
 from issueloom.plans.triage import triage_report
 from issueloom.sources.landing import repo_list
 from issueloom.sources.sinks import in_report_order
+from make import landed_issue
 
-
-def issue(number, repo, **extra):
-    base = {
-        "number": number,
-        "title": f"Issue {number}",
-        "body": f"text of {repo} {number}",
-        "labels": [],
-        "created_at": "2024-01-01T00:00:00Z",
-        "updated_at": "2024-02-01T00:00:00Z",
-        "state": "open",
-        "html_url": f"https://x/{repo}/{number}",
-    }
-    base.update(extra)
-    return base
+ASK = dict(preamble="Judge:\n")
+SINCE = datetime(2021, 1, 1)
 
 
 @pytest.fixture(scope="module")
 def landed(spark):
-    same = {"title": "Crash on start", "body": "it crashes when I start it with the new flag every time"}
+    twin = dict(title="Cannot save", body="saving a file of more than two pages ends with a blank screen on my machine")
     a = [
-        issue(1, "o/a", **same), issue(2, "o/a"), issue(3, "o/a", pull_request=None), issue(4, "o/a", state="closed"),
-        issue(5, "o/a", updated_at="2020-01-01T00:00:00Z"), issue(6, "o/a"),
+        landed_issue(11, "o/a", **twin), landed_issue(12, "o/a"), landed_issue(13, "o/a", pull_request=None),
+        landed_issue(14, "o/a", state="closed"), landed_issue(15, "o/a", updated_at="2020-01-01T00:00:00Z"),
+        landed_issue(16, "o/a"),
     ]
-    b = [issue(1, "o/b"), issue(7, "o/b", **same)]
+    b = [landed_issue(11, "o/b"), landed_issue(17, "o/b", **twin)]
     pages = spark.createDataFrame(
         [("o/b", 1, json.dumps(b)), ("o/a", 1, json.dumps(a))], "repo string, page long, body string"
     )
-    reactions = spark.createDataFrame([("o/a", 1, "+1"), ("o/a", 1, "-1")], "repo string, number long, content string")
+    reactions = spark.createDataFrame([("o/a", 11, "+1"), ("o/a", 11, "-1")], "repo string, number long, content string")
     return pages, reactions
 
 
@@ -49,61 +39,82 @@ def fixed_answer(text):
     return make_model
 
 
-def test_one_prompt_uses_the_models_own_lists(spark, landed):
-    answer = json.dumps(
-        {
-            "priorities": [
-                {"issue_id": 2, "priority": "P2", "reasoning": "Minor tweak"},
-                {"issue_id": 1, "priority": "P0", "reasoning": "Critical | bug"},
-            ],
-            "duplicates": [[1, 2]],
-            "top_urgent_issues": [2, 1],
-        }
-    )
-    done = triage_report(
-        repo_list(spark, ["o/a"]), *landed, fixed_answer(answer), since=datetime(2023, 1, 1), header=["# Report"]
-    )
-    lines = lines_of(done)
-    assert lines[:2] == ["# Report", ""]
-    assert lines[2] == "- Total Issues Analyzed: 3"
-    assert lines[6] == "- Duplicate Groups: 1"
-    urgent = lines.index("## Top 20 Urgent Issues")
-    assert [x[:6] for x in lines[urgent + 3 : urgent + 5]] == ["| [#2]", "| [#1]"]
-    table = lines.index("## All Issues (Sorted by Priority)")
-    assert lines[table + 3] == "| [#1](https://x/o/a/1) | Crash on start | P0 | Critical \\| bug |"
-    assert lines[-1] == "- [#1](https://x/o/a/1) - Crash on start, [#2](https://x/o/a/2) - Issue 2"
-    assert done.rejects.count() == 0
-
-
-def test_several_prompts_find_duplicates_across_repositories(spark, landed):
+def judge(**lists):
+    """A model that rates odd numbers P0 and others P2, and answers with lists computed from the ids asked."""
+
     def make_model():
         def answer(prompt):
             ids = [int(x[4:]) for x in prompt.splitlines() if x.startswith("ID: ")]
-            assert "Reactions: 2 total, 1 positive" in prompt or 1 not in ids or "o/b" in prompt
-            return json.dumps({"priorities": [{"issue_id": n, "priority": "P1", "reasoning": "r"} for n in ids]})
+            rated = [dict(issue_id=n, priority="P0" if n % 2 else "P2", reasoning=f"due to | {n}") for n in ids]
+            return json.dumps(dict(priorities=rated) | {k: of(ids) for k, of in lists.items()})
 
         return answer
 
+    return make_model
+
+
+LISTS = dict(duplicates=lambda ids: [ids[:2], []], top_urgent_issues=lambda ids: ids[::-1])
+
+
+def section(lines, title):
+    start = lines.index(title) + 1
+    end = next((i for i in range(start, len(lines)) if lines[i] == ""), len(lines))
+    return lines[start:end]
+
+
+def ids_of(lines):
+    return [x.split("/o/")[1].split(")")[0] for x in lines if x.startswith("| [#")]
+
+
+@pytest.mark.parametrize("max_issues", [100, 2, 1])
+@pytest.mark.parametrize("repos", [["o/a"], ["o/a", "o/b"]])
+def test_the_same_rules_hold_for_one_prompt_and_many(spark, landed, repos, max_issues):
+    given = repo_list(spark, repos)
+    done = triage_report(given, *landed, judge(**LISTS), since=SINCE, max_issues=max_issues, header=["# R"], **ASK)
+    lines = lines_of(done)
+    assert lines[:2] == ["# R", ""] and done.rejects.count() == 0
+    asked = {"o/a": [11, 12, 16], "o/b": [11, 17]}
+    prompts = [(r, ids[i : i + max_issues]) for r in repos for ids in [asked[r]] for i in range(0, len(ids), max_issues)]
+    assert lines[2] == f"- Total Issues Analyzed: {sum(len(asked[r]) for r in repos)}"
+    # Urgent: all first entries in the order of the prompts, then all second ones.
+    entries = sorted((pos, place, f"{r}/{n}") for place, (r, ids) in enumerate(prompts) for pos, n in enumerate(ids[::-1]))
+    assert ids_of(section(lines, "## Top 20 Urgent Issues")) == [x[2][2:] for x in entries]
+    # Each group of each prompt is a bullet, also an empty one.
+    bullets = section(lines, "## Potential Duplicate Issues")
+    assert lines[6] == f"- Duplicate Groups: {len(bullets)}" and len(bullets) == 2 * len(prompts)
+    assert bullets.count("- ") == len(prompts)
+    assert [b.count("[#") for b in bullets if b != "- "] == [len(ids[:2]) for _, ids in prompts]
+
+
+def test_table_is_sorted_and_escaped(spark, landed):
+    done = triage_report(repo_list(spark, ["o/a"]), *landed, judge(), since=SINCE, **ASK)
+    table = section(lines_of(done), "## All Issues (Sorted by Priority)")
+    assert ids_of(table) == ["a/11", "a/12", "a/16"]
+    assert table[2] == "| [#11](https://tracker/o/a/11) | Cannot save | P0 | due to \\| 11 |"
+    assert ids_of(section(lines_of(done), "## Top 20 Urgent Issues")) == ["a/11", "a/12", "a/16"]
+
+
+def test_similarity_joins_groups_across_prompts(spark, landed):
     done = triage_report(
-        repo_list(spark, ["o/b", "o/a"]), *landed, make_model, since=datetime(2023, 1, 1), max_issues=2, concurrency=3
+        repo_list(spark, ["o/b", "o/a"]), *landed, judge(duplicates=lambda ids: [ids[:2]]), since=SINCE, similarity=(4, 5), **ASK
     )
-    lines = lines_of(done)
-    assert lines[0] == "- Total Issues Analyzed: 5"
-    table = lines.index("## All Issues (Sorted by Priority)")
-    ids = [x.split("](")[0] + x.split("/o/")[1][0] for x in lines[table + 3 : table + 8]]
-    assert ids == ["| [#1b", "| [#7b", "| [#1a", "| [#2a", "| [#6a"]
-    assert lines[-1] == "- [#1](https://x/o/a/1) - Crash on start, [#7](https://x/o/b/7) - Crash on start"
+    assert section(lines_of(done), "## Potential Duplicate Issues") == [
+        "- [#11](https://tracker/o/a/11) - Cannot save",
+        "  , [#12](https://tracker/o/a/12) - No. 12",
+        "  , [#11](https://tracker/o/b/11) - No. 11",
+        "  , [#17](https://tracker/o/b/17) - Cannot save",
+    ]
+    assert "- Duplicate Groups: 1" in lines_of(done)
 
 
 @pytest.mark.parametrize("per_repo", [False, True])
 def test_limits(spark, landed, per_repo):
     done = triage_report(
-        repo_list(spark, ["o/a", "o/b"]), *landed, fixed_answer("not json"), limit=2, per_repo=per_repo
+        repo_list(spark, ["o/a", "o/b"]), *landed, fixed_answer("not json"), limit=2, per_repo=per_repo, **ASK
     )
     assert done.issues.count() == (4 if per_repo else 2)
     lines = lines_of(done)
-    assert lines.count("No issues found.") == 2
-    assert lines[-1] == ("- [#1](https://x/o/a/1) - Crash on start, [#7](https://x/o/b/7) - Crash on start" if per_repo else "No duplicates found.")
+    assert lines.count("No issues found.") == 2 and lines[-1] == "No duplicates found."
     assert {r.reason for r in done.rejects.collect()} == {"answer is not valid JSON"}
 
 
@@ -112,18 +123,35 @@ def test_no_issues_ends_early_without_a_call(spark, landed):
         raise AssertionError("must not be called")
 
     for done in (
-        triage_report(repo_list(spark, ["o/none"]), *landed, make_model),
-        triage_report(repo_list(spark, ["o/a"]), *landed, make_model, since=datetime(2030, 1, 1)),
-        triage_report(repo_list(spark, ["o/a"]), *landed, make_model, limit=0),
+        triage_report(repo_list(spark, ["o/none"]), *landed, make_model, **ASK),
+        triage_report(repo_list(spark, ["o/a"]), *landed, make_model, since=datetime(2030, 1, 1), **ASK),
+        triage_report(repo_list(spark, ["o/a"]), *landed, make_model, limit=0, **ASK),
     ):
-        assert done.lines is None
+        assert done.lines is None and done.rejects.count() == 0
+
+
+def test_unreadable_pages_are_reported_or_fail_the_run(spark, landed):
+    good = json.dumps([landed_issue(1), landed_issue("x"), 7])
+    pages = spark.createDataFrame(
+        [("o/a", 1, good), ("o/a", 2, good[:50]), ("o/a", 3, '{"message":"gone"}'), ("o/z", 1, "[")], "repo string, page long, body string"
+    )
+    done = triage_report(repo_list(spark, ["o/a"]), pages, landed[1], judge(), **ASK)
+    assert [r.number for r in done.issues.collect()] == [1]
+    assert {(r.page, r.pos, r.reason) for r in done.rejects.collect()} == {
+        (1, 1, "number cannot be read"),
+        (1, 2, "element is not an object"),
+        (2, None, "page is not valid JSON"),
+        (3, None, "page is not an array"),
+    }
+    with pytest.raises(ValueError, match="of o/a"):
+        triage_report(repo_list(spark, ["o/a"]), pages, landed[1], judge(), strict=True, **ASK)
 
 
 def test_lookback_per_repository(spark, landed):
     lookback = spark.createDataFrame([("o/a", "1y"), ("o/b", "1d")], "repo string, since string")
     done = triage_report(
-        repo_list(spark, ["o/a", "o/b"]), *landed, fixed_answer("{}"), lookback=lookback, as_of=datetime(2024, 3, 1)
+        repo_list(spark, ["o/a", "o/b"]), *landed, fixed_answer("{}"), lookback=lookback, as_of=datetime(2022, 7, 1), **ASK
     )
-    assert sorted((r.repo, r.number) for r in done.issues.collect()) == [("o/a", 1), ("o/a", 2), ("o/a", 6)]
+    assert sorted((r.repo, r.number) for r in done.issues.collect()) == [("o/a", 11), ("o/a", 12), ("o/a", 16)]
     with pytest.raises(ValueError):
-        triage_report(repo_list(spark, ["o/a"]), *landed, fixed_answer("{}"), lookback=lookback)
+        triage_report(repo_list(spark, ["o/a"]), *landed, fixed_answer("{}"), lookback=lookback, **ASK)
