@@ -1,7 +1,8 @@
 """Cutting lineage with tables in the shared checkpoint folder.
 
-A table written there survives the loss of any executor, keeps column pruning for later readers, and
-guarantees that work which must not run twice (model calls, random order) does not run twice.
+A table written there survives the loss of any executor and keeps column pruning for later readers. What
+was written is not computed again by later readers; a task that is lost while writing does run again, so a
+model may be asked twice for the prompts of that task. `drop_tables` deletes what a session has written.
 """
 
 from __future__ import annotations
@@ -28,6 +29,17 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return current
 
 
+def run_folder(spark: SparkSession) -> str:
+    """Where the tables of this session are."""
+    return f"{checkpoint_dir(spark).rstrip('/')}/{spark.sparkContext.applicationId}"
+
+
+def drop_tables(spark: SparkSession) -> None:
+    """Delete the tables of this session. Call it when all results that read them are written."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(run_folder(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def durable(df: DataFrame, name: str) -> DataFrame:
     """Write `df` to the checkpoint folder and return a reader of what was written."""
     return counted(df, name)[0]
@@ -36,8 +48,7 @@ def durable(df: DataFrame, name: str) -> DataFrame:
 def counted(df: DataFrame, name: str, measure: Column | None = None) -> tuple[DataFrame, int]:
     """As `durable`, with the number of rows, or another sum, observed while they are written."""
     spark = df.sparkSession
-    app = spark.sparkContext.applicationId
-    path = f"{checkpoint_dir(spark).rstrip('/')}/{app}/{name}-{uuid.uuid4().hex}"
+    path = f"{run_folder(spark)}/{name}-{uuid.uuid4().hex}"
     seen = Observation(f"size-of-{name}")
     size = (F.count(F.lit(1)) if measure is None else measure).alias("size")
     df.observe(seen, size).write.parquet(path)

@@ -7,9 +7,11 @@ from pyspark.sql import SparkSession
 HERE = os.path.dirname(os.path.abspath(__file__))
 sys.path[:0] = [HERE, os.path.dirname(HERE)]
 
+from issueloom.operators.durable import drop_tables  # noqa: E402
+
 
 @pytest.fixture(scope="session")
-def spark():
+def spark(tmp_path_factory):
     session = (
         SparkSession.builder.master("local[8]")
         .appName("issueloom-tests")
@@ -18,8 +20,10 @@ def spark():
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", "8g")
         .config("spark.sql.session.timeZone", "UTC")
+        .config("spark.checkpoint.dir", str(tmp_path_factory.mktemp("tables")))
         .getOrCreate()
     )
     session.sparkContext.setLogLevel("OFF")
     yield session
+    drop_tables(session)
     session.stop()
