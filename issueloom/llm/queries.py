@@ -1,4 +1,4 @@
-"""One query per operator over the whole test tables. No oracle: none of the ten methods is SQL."""
+"""One query per operator over the whole test tables. Their SQL, where there is any, is in `oracles`."""
 
 from __future__ import annotations
 
@@ -15,7 +15,6 @@ WORD_TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 BYTE_RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-LLM_ORACLES: dict[str, str] = {}
 
 
 def query(build: Callable[[SparkSession, str], DataFrame]):

@@ -2,9 +2,13 @@ import re
 from collections import Counter
 
 import cases
+import pytest
+from compare import connect, differences
 from pyspark.sql import functions as F
 
 from issueloom.llm import quality
+from issueloom.llm.oracles import LLM_ORACLES
+from issueloom.llm.queries import LLM_QUERIES
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -79,3 +83,10 @@ def test_empty_table(spark):
 def test_no_python_in_the_plan(spark):
     plan = quality.judge_documents(cases.docs(spark))._jdf.queryExecution().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
+
+
+@pytest.mark.parametrize("sf", ["sf0.001"])
+def test_query_equals_oracle(spark, sf):
+    folder = f"/root/testdata/{sf}"
+    query = LLM_QUERIES["op9_quality_rules"](spark, folder)
+    assert differences(query, connect(folder), LLM_ORACLES["op9_quality_rules"]) == []
