@@ -6,7 +6,7 @@ scaled features is fitted (Wang and Manning 2012). Only the n-grams whose ratio
 the regression; the others have weight 0, so a text of any length is scored by a look-up per character.
 
 The sample is bounded: at most `per_class` labelled texts of each class, those with the smallest hash of
-their id, longest texts included whole. It is sent to the tasks only as ids, and comes back as lists of
+their id, one text of each id, and texts included whole. It is sent to the tasks only as ids, and comes back as lists of
 selected features. Scoring reads all texts, whole.
 
 Defined cases: null text counts as empty and gets the score of a text without known n-grams; labels that
@@ -87,7 +87,9 @@ def sample_labels(labels: DataFrame, per_class: int = PER_CLASS, keep=None) -> D
 def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, features: int = FEATURES, keep=None) -> Model:
     """Fit on the labelled sample. `keep` is a condition on doc_id that labels must meet to be learnt from."""
     sample = durable(sample_labels(labels, per_class, keep), "toxic-sample")
-    rows = docs.select(F.col("doc_id").cast("long"), text_or_empty()).join(F.broadcast(sample), "doc_id")
+    labelled = docs.select(F.col("doc_id").cast("long"), text_or_empty()).join(F.broadcast(sample), "doc_id")
+    # One text per id, combined before the shuffle: an id that many rows repeat must not swell the sample.
+    rows = labelled.groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
 
     def make():
         def present(batch: pa.RecordBatch):

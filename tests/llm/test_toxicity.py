@@ -64,3 +64,12 @@ def test_cases_and_missing_labels(spark):
     assert kept.columns == docs.columns and kept.dtypes == docs.dtypes
     assert toxicity.score_documents(cases.empty(spark), model).collect() == []
     assert toxicity.train(cases.empty(spark), some).weights.size == 0
+
+
+def test_an_id_that_many_rows_repeat_is_learnt_from_once(spark):
+    once = [(i, f"fine words {i % 7}") for i in range(40)] + [(i, f"vex words {i % 7}") for i in range(40, 60)]
+    labels = spark.createDataFrame([(i, int(i >= 40)) for i in range(60)], "doc_id long, toxic int")
+    schema = "doc_id long, text string"
+    a = toxicity.train(spark.createDataFrame(once, schema), labels)
+    b = toxicity.train(spark.createDataFrame(once + [once[3]] * 500, schema).repartition(5), labels)
+    assert np.array_equal(a.buckets, b.buckets) and np.allclose(a.weights, b.weights) and np.isclose(a.intercept, b.intercept)
