@@ -58,3 +58,23 @@ def test_fewer_rows_than_neighbours_and_empty(spark):
     assert pivots.nearest(three.limit(0), F.col("vec_id") % 100 == 0).collect() == []
     nothing = spark.createDataFrame([(0, [0.0])], "vec_id long, embedding array<float>")
     assert pivots.nearest(nothing, F.col("vec_id") % 100 == 0).collect() == []
+
+
+def test_near_copies_neither_fill_the_pivots_nor_are_cut(spark):
+    rng = np.random.default_rng(3)
+    free, centre = rng.normal(size=(1500, 16)), rng.normal(size=16)
+    group = centre + 0.01 * rng.normal(size=(900, 16))
+    rows = list(enumerate(np.vstack([free, group]).astype("float32").tolist()))
+    random.Random(1).shuffle(rows)
+    rows = [(i, v) for i, (_, v) in enumerate(rows)]
+    given = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    got = collected(pivots.nearest(given, F.col("vec_id") % 100 == 0, pivots=64, prefix=32, least=10, block=1000))
+    want = slow(rows, 10)
+    hits = [len({i for _, i in got[q]} & {i for _, i in want[q]}) / 10 for q in want]
+    near = [h for h, q in zip(hits, want, strict=True) if want[q][0][0] < 0.2]
+    assert np.mean(hits) > 0.95 and len(near) > 3 and min(near) == 1.0
+
+
+def test_spread_out_pivots_differ():
+    sample = np.vstack([np.zeros((50, 3)) + [1, 0, 0], np.eye(3), np.eye(3)])
+    assert len(pivots.spread_out(sample, 10)) == 3
