@@ -29,7 +29,7 @@ from issueloom.operators.durable import durable
 
 CAPACITY = 4096
 END_ID = 1
-BLOCK_ROWS = 1_000
+BLOCK_ROWS = 500
 CHUNKS_KEPT = 1_000_000
 LONG_CHUNK = 64
 #: Marks that end many words, and the end of the Latin letters whose classes all Unicode versions share.
@@ -55,7 +55,8 @@ class ChunkEncoder:
     The tokenizer drops white space and no token spans it, so a text's ids are those of its chunks, joined.
     """
 
-    def __init__(self, tokenizer_file: str):
+    def __init__(self, tokenizer_file: str, kept: int = CHUNKS_KEPT):
+        self.kept = kept
         self.plain = Tokenizer.from_file(tokenizer_file)
         self.plain.encode_special_tokens = True  # their strings in a text are ordinary text
         self.known: dict[str, bytes] = {}
@@ -88,7 +89,7 @@ class ChunkEncoder:
 
     def block(self, texts: list[str]) -> list[bytes]:
         known = self.known
-        if len(known) > CHUNKS_KEPT:
+        if len(known) > self.kept:
             known.clear()
         cut = [None if any(c in t for c in SEPARATORS) else t.split() for t in texts]
         new = set().union(*(c for c in cut if c)) - known.keys()
@@ -103,9 +104,9 @@ class ChunkEncoder:
 
 
 @lru_cache(maxsize=2)
-def chunk_encoder(tokenizer_file: str) -> ChunkEncoder:
+def chunk_encoder(tokenizer_file: str, kept: int = CHUNKS_KEPT) -> ChunkEncoder:
     """One encoder per worker process, so that what it has met serves all tasks of the process."""
-    return ChunkEncoder(tokenizer_file)
+    return ChunkEncoder(tokenizer_file, kept)
 
 
 def token_pieces(
@@ -114,25 +115,26 @@ def token_pieces(
     capacity: int = CAPACITY,
     end_id: int = END_ID,
     with_ids: bool = False,
+    kept: int = CHUNKS_KEPT,
 ) -> DataFrame:
     """One row per piece of a document: doc_id, piece, start, length, ids_crc32, part, and on request ids.
 
     Only documents longer than `capacity` are cut, into pieces of `capacity` tokens and a last shorter one.
-    `part` is the task that made the row.
+    `part` is the task that made the row. A worker process keeps the ids of about `kept` chunks, some 200
+    bytes each, for all its tasks; fewer cost time only.
     """
     end = np.array([end_id], dtype="<u4").tobytes()
     step = 4 * capacity
 
     def make():
-        encoder = chunk_encoder(tokenizer_file)
+        encoder = chunk_encoder(tokenizer_file, kept)
 
         def pieces(batch: pa.RecordBatch):
-            doc_ids, texts, parts = (c.to_pylist() for c in batch.columns)
-            for first in range(0, len(texts), BLOCK_ROWS):
+            for first in range(0, batch.num_rows, BLOCK_ROWS):
                 out: list[tuple] = []
                 held: list[np.ndarray] = []
-                block = slice(first, first + BLOCK_ROWS)
-                for doc_id, part, ids in zip(doc_ids[block], parts[block], encoder.block(texts[block]), strict=True):
+                doc_ids, texts, parts = (c.to_pylist() for c in batch.slice(first, BLOCK_ROWS).columns)
+                for doc_id, part, ids in zip(doc_ids, parts, encoder.block(texts), strict=True):
                     whole = ids + end
                     for piece, at in enumerate(range(0, len(whole), step)):
                         cut = whole[at : at + step]
@@ -244,10 +246,15 @@ def place(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
 
 
 def pack_documents(
-    docs: DataFrame, tokenizer_file: str, capacity: int = CAPACITY, end_id: int = END_ID, with_ids: bool = False
+    docs: DataFrame,
+    tokenizer_file: str,
+    capacity: int = CAPACITY,
+    end_id: int = END_ID,
+    with_ids: bool = False,
+    kept: int = CHUNKS_KEPT,
 ) -> DataFrame:
     """Pack all documents; one row per piece. The token table is written once and then only read."""
-    pieces = durable(token_pieces(docs, tokenizer_file, capacity, end_id, with_ids), "pieces")
+    pieces = durable(token_pieces(docs, tokenizer_file, capacity, end_id, with_ids, kept), "pieces")
     return place(pieces, capacity)
 
 
