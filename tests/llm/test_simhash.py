@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
 from issueloom.llm import simhash
+from issueloom.llm.queries import LLM_QUERIES
 
 
 def slow_print(text):
@@ -88,3 +89,32 @@ def test_one_row_of_each_group_stays_with_all_columns(spark):
 def test_empty_table(spark):
     assert simhash.near_components(cases.empty(spark)).collect() == []
     assert simhash.one_per_component(cases.empty(spark)).collect() == []
+
+
+def test_similar_texts_are_linked_beyond_the_radius(spark):
+    rng = random.Random(8)
+    made = [[f"w{rng.randrange(5000)}" for _ in range(rng.choice([60, 150, 400]))] for _ in range(120)]
+    for words in made[:80]:  # two to seven changed words, and so up to 35 changed shingles
+        more = list(words)
+        for at in rng.sample(range(len(more)), rng.choice([1, 2, 4, 7])):
+            more[at] = f"v{rng.randrange(5000)}"
+        made.append(more)
+    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in made]
+    alike = {(i, j) for i, a in enumerate(sets) for j, b in enumerate(sets[:i]) if 5 * len(a & b) >= 4 * len(a | b)}
+    docs = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(made)], "doc_id long, text string").repartition(3)
+    kept = {r.doc_id for r in simhash.one_per_component(docs).collect()}
+    narrow = {r.doc_id for r in simhash.one_per_component(docs, similar=False).collect()}
+    assert len(alike) > 40 and len(narrow) > len(made) - len(alike) / 2
+    assert kept == narrow - {i for i, _ in alike}
+
+
+def test_the_op8_query_has_the_radius_of_its_contract_only(spark):
+    folder = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text").collect()
+    low = slow_components(sorted({slow_print(r.text) for r in docs}))
+    smallest = {}
+    for r in docs:
+        root = low[slow_print(r.text)]
+        smallest[root] = min(r.doc_id, smallest.get(root, r.doc_id))
+    got = {(r.doc_id, r.component_id) for r in LLM_QUERIES["op8_simhash"](spark, folder).collect()}
+    assert got == {(r.doc_id, smallest[low[slow_print(r.text)]]) for r in docs}
