@@ -14,8 +14,8 @@ of their id); every row is indexed. Recall of the 10 nearest against brute force
 clusters (64 dimensions, distances nearly all alike); tests hold it to 0.95.
 
 Vectors that are null, zero, of another length than the first pivot's, or hold nulls or non-finite numbers
-take no part. Rows that repeat a vec_id count as one, at its smallest distance; a row with the query's id
-is never its neighbour. An empty table gives no rows; columns besides vec_id and embedding are ignored.
+take no part. Equal rows are merged before. Rows that repeat a vec_id count as one, at its smallest distance,
+in the share too; a row with the query's id is never its neighbour and takes no part of the share. An empty table gives no rows; columns besides vec_id and embedding are ignored.
 """
 
 from __future__ import annotations
@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from issueloom.llm.common import map_rows
-from issueloom.operators.durable import counted
+from issueloom.operators.durable import counted, durable
 
 PIVOTS = 256
 SAMPLED = 1_024
@@ -108,13 +108,15 @@ def _stack(column: pd.Series, kind: str) -> np.ndarray:
 
 def search_block(rows: pd.DataFrame, queries: pd.DataFrame, k: int, pivots: int, share: float, least: int) -> pd.DataFrame:
     """The k nearest rows of a block for each query of a block."""
+    rows = rows.sort_values("vec_id", kind="stable")
     ids, vectors, prefixes = rows["vec_id"].to_numpy(), _stack(rows["vector"], "<f8"), _stack(rows["prefix"], "<u2")
+    single, firsts = np.unique(ids, return_index=True)
     n, m = prefixes.shape
     # The inverted file: rows and places, sorted by pivot.
     order = np.argsort(prefixes, axis=None, kind="stable")
     posted, places = np.divmod(order, m)
     ends = np.searchsorted(prefixes.ravel()[order], np.arange(pivots + 1))
-    reranked = min(n, max(least, int(np.ceil(share * n))))
+    quota = max(least, int(np.ceil(share * n)))
     dense = int(DENSE * m * (m + 1))
     found = []
     asked = zip(queries["vec_id"], _stack(queries["vector"], "<f8"), _stack(queries["prefix"], "<u2"), strict=True)
@@ -123,9 +125,11 @@ def search_block(rows: pd.DataFrame, queries: pd.DataFrame, k: int, pivots: int,
         for place, pivot in enumerate(prefix):
             post = slice(ends[pivot], ends[pivot + 1])
             footrule[posted[post]] -= 2 * (m - np.maximum(places[post], place)).astype("int32")
-        cut = np.partition(footrule, reranked - 1)[reranked - 1]
-        near = np.flatnonzero(footrule <= max(cut, dense))
-        near = near[ids[near] != query_id]
+        # Of other ids only, and each once, so rows of one id don't fill the quota.
+        lows = np.minimum.reduceat(footrule, firsts)[single != query_id]
+        reranked = min(len(lows), quota)
+        cut = np.partition(lows, reranked - 1)[reranked - 1] if reranked else 0
+        near = np.flatnonzero((footrule <= max(cut, dense)) & (ids != query_id))
         score = np.sqrt(((vectors[near] - vector) ** 2).sum(axis=1))
         best = np.lexsort((ids[near], score))
         # Rows of one id follow each other only if they are equal, so some more are passed on than k.
@@ -146,7 +150,7 @@ def nearest(
     query_block: int = QUERY_BLOCK,
 ) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest found of every row with `is_query` (of vec_id)."""
-    rows = usable(vectors)
+    rows = durable(usable(vectors).distinct(), "vectors")
     chosen = choose_pivots(rows, pivots)
     if not len(chosen):
         none = rows.select(F.col("vec_id").alias("query_id"), F.lit(1).alias("rank"), "vec_id", F.lit(0.0).alias("score"))

@@ -78,3 +78,20 @@ def test_near_copies_neither_fill_the_pivots_nor_are_cut(spark):
 def test_spread_out_pivots_differ():
     sample = np.vstack([np.zeros((50, 3)) + [1, 0, 0], np.eye(3), np.eye(3)])
     assert len(pivots.spread_out(sample, 10)) == 3
+
+
+def test_rows_of_one_id_do_not_use_up_the_share(spark):
+    rng = np.random.default_rng(4)
+    free, own, other = rng.normal(size=(1200, 16)), rng.normal(size=16), rng.normal(size=16)
+    rows = [(i + 1000, v.tolist()) for i, v in enumerate(free)]
+    rows += [(100, (own + 1e-3 * rng.normal(size=16)).tolist()) for _ in range(500)] + [(100, own.tolist())] * 100
+    # The query 200 stands in a group whose other rows all have one id.
+    rows += [(201, (other + 1e-3 * rng.normal(size=16)).tolist()) for _ in range(500)] + [(200, other.tolist())]
+    random.Random(1).shuffle(rows)
+    given = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = collected(pivots.nearest(given, F.col("vec_id") % 100 == 0, pivots=64, prefix=32, least=10, block=4000))
+    want = slow(rows, 10)
+    assert {q: len(found) for q, found in got.items()} == dict.fromkeys(want, 10)
+    assert got[200][0][1] == 201
+    for q in (100, 200):
+        assert len({i for _, i in got[q]} & {i for _, i in want[q]}) >= 8
