@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from issueloom.llm import merges, packing, pivots, quality, resample, ring, simhash, toxicity, urls, warc
+from issueloom.llm import lines, merges, orchard, packing, phrases, pivots, quality, resample, ring, simhash, toxicity, urls, warc
 from issueloom.llm.common import table
 
 WORD_TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -83,3 +83,19 @@ def op9_quality_rules(spark, sf_dir):
 @query
 def op10_importance_resampling(spark, sf_dir):
     return resample.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query
+def op11_orchard_clustering(spark, sf_dir):
+    return orchard.with_inertia(*orchard.cluster_vectors(table(spark, sf_dir, "embeddings")))
+
+
+@query
+def op12_line_dedup(spark, sf_dir):
+    kept = lines.dedup_lines(table(spark, sf_dir, "documents"))
+    return kept.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
+
+
+@query
+def op13_phrase_collocations(spark, sf_dir):
+    return phrases.collocations(table(spark, sf_dir, "documents"))
