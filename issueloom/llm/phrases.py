@@ -160,9 +160,11 @@ class Filter:
     def slots(self, range_bits: int) -> Iterator[tuple[int, bytes]]:
         """(range, filter) of slots of about SLOT entries; a range is one slot or more."""
         keys, counts = self.entries()
+        if not len(keys):
+            return
         slot_bits = min(KEY_BITS, max(range_bits, (len(keys) // SLOT).bit_length()))
         of = keys >> np.uint64(KEY_BITS - slot_bits)
-        starts = np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1]])) if len(keys) else []
+        starts = np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1]]))
         for a, b in zip(starts, [*starts[1:], len(keys)], strict=True):
             slot = int(of[a])
             yield slot >> (slot_bits - range_bits), encode_slot(keys[a:b], counts[a:b], slot, slot_bits)
