@@ -2,41 +2,18 @@
 
 from __future__ import annotations
 
-from issueloom.llm.quality import FENCES, LEAST_GROUP, MAX_REPEAT_SHARE, MIN_WORDS
+from issueloom.llm.quality import FENCES, MAX_REPEAT_SHARE, MEASURES, MIN_WORDS, PRIOR, UNIT
 
 CLUSTERS, ROUNDS = 16, 3
 STRIPPED = r"regexp_replace(line, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g')"
 LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
-BOUNDS = [(name, side) for name, low, high, _, _ in FENCES for side, on in (("low", low), ("high", high)) if on]
+PERCENTS = sorted({p for f in FENCES for p in f[2:4]})
 
 
-def _bound(name: str, side: str) -> str:
-    reach, least = next((r, n) for m, _, _, r, n in FENCES if m == name)
-    if side == "low":
-        value = f"q2 - greatest({reach} * (q2 - q1), {least})"
-    else:
-        value = f"q2 + greatest({reach} * (q3 - q2), {least})"
-    return f"max({value}) FILTER (measure = '{name}') AS {name}_{side}"
-
-
-def _fences(by: str) -> str:
-    """Fences per group of the columns `by`."""
-    comma = f"{by}," if by else ""
-    window = f"PARTITION BY {comma} measure"
-    return f"""(SELECT {comma} max(total) AS n_rows, {", ".join(_bound(*b) for b in BOUNDS)}
-    FROM (SELECT {comma} measure, max(total) AS total,
-            min(bucket) FILTER (upto * 4 >= total) AS q1, min(bucket) FILTER (upto * 4 >= total * 2) AS q2,
-            min(bucket) FILTER (upto * 4 >= total * 3) AS q3
-          FROM (SELECT {comma} measure, bucket, sum(n) OVER ({window} ORDER BY bucket) AS upto, sum(n) OVER ({window}) AS total
-                FROM (SELECT {comma} measure, bucket, count(*) AS n FROM v_bucket GROUP BY {comma} measure, bucket))
-          GROUP BY {comma} measure) GROUP BY {by or "()"})"""
-
-
-def _picked(name: str) -> str:
-    return (
-        f"CASE WHEN o.n_rows >= {LEAST_GROUP} THEN o.{name} WHEN w.n_rows >= {LEAST_GROUP} THEN w.{name} ELSE a.{name} END"
-    )
+def _fence(name: str, side: str, stand: int, far: int, reach: int, least: int) -> str:
+    sign = "-" if side == "low" else "+"
+    return f"max(q{stand} {sign} {reach} * greatest(abs(q{stand} - q{far}), {least})) FILTER (measure = '{name}') AS {name}_{side}"
 
 
 QUALITY = rf"""
@@ -66,18 +43,33 @@ v_rate AS (
          n_words < {MIN_WORDS} OR 100 * n_repeat_words > {MAX_REPEAT_SHARE} * n_words AS base_failed
   FROM v_base),
 v_value AS (
-  UNPIVOT (SELECT lang, source, symbol_rate, line_rate, repeat_rate, word_size FROM v_rate)
-  ON symbol_rate, line_rate, repeat_rate, word_size INTO NAME measure VALUE v),
-v_bucket AS (
-  SELECT lang, source, measure, (v >> greatest(length(bin(v)) - 6, 0)) << greatest(length(bin(v)) - 6, 0) AS bucket FROM v_value),
-v_limit AS (
-  SELECT o.lang, o.source, {", ".join(f"{_picked(f'{n}_{s}')} AS {n}_{s}" for n, s in BOUNDS)}
-  FROM {_fences("lang, source")} o JOIN {_fences("lang")} w ON o.lang IS NOT DISTINCT FROM w.lang
-  CROSS JOIN {_fences("")} a)
+  UNPIVOT (SELECT lang, source, {", ".join(MEASURES)} FROM v_rate WHERE NOT base_failed)
+  ON {", ".join(MEASURES)} INTO NAME measure VALUE v),
+v_sketch AS (
+  SELECT lang, source, measure, bucket, count(*) AS n FROM (
+    SELECT lang, source, measure, (v >> greatest(length(bin(v)) - 6, 0)) << greatest(length(bin(v)) - 6, 0) AS bucket FROM v_value)
+  GROUP BY lang, source, measure, bucket),
+v_all AS (SELECT measure, bucket, sum(n) * {UNIT} // sum(sum(n)) OVER (PARTITION BY measure) AS share FROM v_sketch GROUP BY measure, bucket),
+v_lang AS (
+  SELECT lang, measure, bucket, sum(n) AS n FROM (
+    SELECT lang, measure, bucket, n * {UNIT} AS n FROM v_sketch
+    UNION ALL SELECT lang, measure, bucket, share * {PRIOR} FROM (SELECT DISTINCT lang FROM v_sketch) CROSS JOIN v_all)
+  GROUP BY lang, measure, bucket),
+v_share AS (SELECT *, n * {UNIT} // sum(n) OVER (PARTITION BY lang, measure) AS share FROM v_lang),
+v_group AS (
+  SELECT lang, source, measure, bucket, sum(n) AS n FROM (
+    SELECT lang, source, measure, bucket, n * {UNIT} AS n FROM v_sketch
+    UNION ALL SELECT g.lang, g.source, s.measure, s.bucket, s.share * {PRIOR}
+    FROM (SELECT DISTINCT lang, source FROM v_sketch) g JOIN v_share s ON g.lang IS NOT DISTINCT FROM s.lang)
+  GROUP BY lang, source, measure, bucket),
+v_quantile AS (
+  SELECT lang, source, measure, {", ".join(f"min(bucket) FILTER (upto * 100 >= total * {p}) AS q{p}" for p in PERCENTS)} FROM (
+    SELECT *, sum(n) OVER (PARTITION BY lang, source, measure ORDER BY bucket) AS upto, sum(n) OVER (PARTITION BY lang, source, measure) AS total
+    FROM v_group) GROUP BY lang, source, measure),
+v_limit AS (SELECT lang, source, {", ".join(_fence(*f) for f in FENCES)} FROM v_quantile GROUP BY lang, source)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-       NOT base_failed AND {" AND ".join(f"{n} {'>=' if s == 'low' else '<='} {n}_{s}" for n, s in BOUNDS)} AS kept
-FROM v_rate r JOIN v_limit l ON r.lang IS NOT DISTINCT FROM l.lang AND r.source IS NOT DISTINCT FROM l.source"""
-
+       NOT base_failed AND {" AND ".join(f"{f[0]} {'>=' if f[1] == 'low' else '<='} {f[0]}_{f[1]}" for f in FENCES)} AS kept
+FROM v_rate r LEFT JOIN v_limit l ON r.lang IS NOT DISTINCT FROM l.lang AND r.source IS NOT DISTINCT FROM l.source"""
 
 
 def _round(k: int) -> str:
@@ -123,7 +115,8 @@ FROM v_kept GROUP BY row_id, doc_id"""
 PHRASES = rf"""
 WITH v_piece AS (
   SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array({LOWER.format("coalesce(text, '')")}, '[.,;:!?
--]')) AS piece
+-
+]')) AS piece
   FROM documents),
 v_words AS (
   SELECT lang, list_filter(regexp_split_to_array(piece, '[ 	]+'), lambda x: x <> '') AS w FROM v_piece),

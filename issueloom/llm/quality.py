@@ -1,11 +1,14 @@
 """Quality rules with adaptive thresholds, in Spark's own functions only.
 
-Every whole text is measured once. The measures go to a mergeable quantile sketch per (lang, source): each
-value falls into a bucket of about 3 % width, and a sketch is the number of rows per bucket. Counts add up,
-so sketches of tasks, sources and languages merge by summing, in any order and with the same result. From a
-group's sketch come the quartiles, and from these the fences beyond which a text is odd for its group:
-`reach` times the distance from the median to the quartile, away from the median, on the side where a
-measure is suspicious. A group of few rows takes the sketch of its language, or of all rows.
+Every whole text is measured once. The measures of texts that pass the base rules go to a mergeable quantile
+sketch per (lang, source): each value falls into a bucket of about 3 % width, and a sketch is the number of
+rows per bucket. Counts add up, so sketches of tasks, sources and languages merge by summing, in any order and
+with the same result. A fence, beyond which a text is odd for its group, stands at a quantile of the group's
+sketch, moved outwards by `reach` times the distance of a second quantile, or of `least` where they are equal.
+
+Every group's sketch is merged with that of its language, weighted to count as PRIOR rows, and that of a language
+with the one of all texts in the same way. So a group of few rows is judged much as its language is, a large one
+by itself, and there is no size at which the rule changes. Weights are whole numbers, in units of 1 / UNIT.
 
 Measures, all whole numbers: symbols per 1,000 characters of words, repeated lines per 1,000 words, words
 in repeated windows per 1,000 words, and characters per 100 words (both sides).
@@ -27,18 +30,22 @@ WINDOW = 5
 MIN_WORDS = 10
 MAX_REPEAT_SHARE = 20
 SYMBOLS = "[#*$%&|<>]"
-LEAST_GROUP = 200
+PRIOR = 50
+UNIT = 4096
 BASE = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 #: Fixed shape of a sketch: values below FINE have a bucket each, larger ones share one with those that
 #: agree in their leading bits (5 after the first).
 FINE = 64
-#: (measure, lower fence, upper fence, reach, least distance): how far from the median a fence is at least.
+#: (measure, side, percentile of the fence, percentile that tells the distance, reach, least distance). Junk is
+#: a share of most sources, so measures that tell junk stand on percentiles that it doesn't reach.
 FENCES = [
-    ("symbol_rate", False, True, 12, 30),
-    ("line_rate", False, True, 12, 150),
-    ("repeat_rate", False, True, 12, 200),
-    ("word_size", True, True, 12, 150),
+    ("symbol_rate", "high", 85, 50, 6, 5),
+    ("line_rate", "high", 99, 95, 1, 2),
+    ("repeat_rate", "high", 99, 95, 1, 10),
+    ("word_size", "low", 15, 50, 6, 10),
+    ("word_size", "high", 85, 50, 6, 10),
 ]
+MEASURES = list(dict.fromkeys(f[0] for f in FENCES))
 #: A character of a word, for Java's patterns.
 WORD = r"[^\x20\x09-\x0D]"
 
@@ -99,10 +106,9 @@ def bucket(value: str) -> Column:
 
 
 def sketches(measured: DataFrame, lang: str, source: str) -> DataFrame:
-    """Rows (lang, source, measure, bucket, n): one sketch per group and measure."""
-    names = [f[0] for f in FENCES]
-    each = F.explode(F.array(*[F.struct(F.lit(n).alias("measure"), F.col(n).alias("value")) for n in names])).alias("m")
-    narrow = measured.select(F.col(lang).alias("lang"), F.col(source).alias("source"), *names)
+    """Rows (lang, source, measure, bucket, n): one sketch per group and measure, of texts inside the base rules."""
+    each = F.explode(F.array(*[F.struct(F.lit(n).alias("measure"), F.col(n).alias("value")) for n in MEASURES])).alias("m")
+    narrow = measured.filter(~base_failed()).select(F.col(lang).alias("lang"), F.col(source).alias("source"), *MEASURES)
     return (
         narrow.select("lang", "source", each)
         .select("lang", "source", "m.measure", bucket("m.value").alias("bucket"))
@@ -115,50 +121,55 @@ def merged(sketch: DataFrame, by: list[str]) -> DataFrame:
     return sketch.groupBy(*by, "measure", "bucket").agg(F.sum("n").alias("n"))
 
 
+def shares(sketch: DataFrame, by: list[str]) -> DataFrame:
+    """The sketch of each group as shares of its rows, in units of 1 / UNIT, rounded down."""
+    total = F.sum("n").over(Window.partitionBy(*by, "measure"))
+    return sketch.withColumn("_total", total).select(*by, "measure", "bucket", F.expr(f"n * {UNIT} div _total").alias("share"))
+
+
+def with_prior(sketch: DataFrame, by: list[str], prior: DataFrame, of: list[str]) -> DataFrame:
+    """Sketches of groups, in units of 1 / UNIT, merged with PRIOR rows that are spread as `prior` is.
+
+    `prior` has shares per group of the columns `of`; a group's shares, a bounded number, are one array here.
+    """
+    entry = F.collect_list(F.struct("measure", "bucket", "share")).alias("shares")
+    packed = prior.groupBy(F.struct(F.lit(0).alias("_all"), *of).alias("_of")).agg(entry)
+    groups = sketch.select(*by).distinct().withColumn("_of", F.struct(F.lit(0).alias("_all"), *of))
+    spread = lookup_join(groups, packed, ["_of"], "inner", by).select(*by, F.explode("shares").alias("s"))
+    added = spread.select(*by, "s.measure", "s.bucket", (F.col("s.share") * PRIOR).alias("n"))
+    own = sketch.select(*by, "measure", "bucket", (F.col("n") * UNIT).alias("n"))
+    return merged(own.unionByName(added), by)
+
+
 def fences(sketch: DataFrame, by: list[str]) -> DataFrame:
-    """One row per group: its size `rows`, and `<measure>_low`, `<measure>_high` from its sketch."""
+    """One row per group, with `<measure>_low` and `<measure>_high` from its sketch."""
     group = Window.partitionBy(*by, "measure")
     upto = group.orderBy("bucket").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     ranks = sketch.withColumns({"upto": F.sum("n").over(upto), "total": F.sum("n").over(group)})
-    at = lambda share: F.min(F.when(F.col("upto") * 4 >= F.col("total") * share, F.col("bucket")))
-    quantiles = ranks.groupBy(*by, "measure").agg(
-        F.max("total").alias("rows"), at(1).alias("q1"), at(2).alias("q2"), at(3).alias("q3")
-    )
+    at = lambda percent: F.min(F.when(F.col("upto") * 100 >= F.col("total") * percent, F.col("bucket")))
+    percents = sorted({p for f in FENCES for p in f[2:4]})
+    quantiles = ranks.groupBy(*by, "measure").agg(*[at(p).alias(f"q{p}") for p in percents])
     columns = []
-    for name, low, high, reach, least in FENCES:
-        own = lambda value: F.max(F.when(F.col("measure") == name, value))  # noqa: E731, B023
-        if low:
-            columns.append(own(F.expr(f"q2 - greatest({reach} * (q2 - q1), {least})")).alias(f"{name}_low"))
-        if high:
-            columns.append(own(F.expr(f"q2 + greatest({reach} * (q3 - q2), {least})")).alias(f"{name}_high"))
-    return quantiles.groupBy(*by).agg(F.max("rows").alias("rows"), *columns)
+    for name, side, stand, far, reach, least in FENCES:
+        sign = "-" if side == "low" else "+"
+        value = F.expr(f"q{stand} {sign} {reach} * greatest(abs(q{stand} - q{far}), {least})")
+        columns.append(F.max(F.when(F.col("measure") == name, value)).alias(f"{name}_{side}"))
+    return quantiles.groupBy(*by).agg(*columns)
 
 
-def thresholds(measured: DataFrame, lang: str, source: str, least_group: int = LEAST_GROUP) -> DataFrame:
-    """Fences per (lang, source); small groups take those of their language, or of all rows."""
+def thresholds(measured: DataFrame, lang: str, source: str) -> DataFrame:
+    """Fences per (lang, source)."""
     sketch = durable(sketches(measured, lang, source), "sketches")
-    names = [f"{f[0]}_{side}" for f in FENCES for side, on in (("low", f[1]), ("high", f[2])) if on]
-    own = fences(sketch, ["lang", "source"])
-    wide = fences(merged(sketch, ["lang"]), ["lang"])
-    wide = wide.select(F.struct("lang").alias("lang_key"), F.col("rows").alias("l_rows"), *[F.col(n).alias(f"l_{n}") for n in names])
-    # A single row: the merged sketch has a bounded number of buckets.
-    whole = durable(fences(merged(sketch, []).withColumn("all", F.lit(1)), ["all"]), "fences")
-    joined = own.withColumn("lang_key", F.struct("lang")).join(wide, "lang_key", "left")
-    pick = lambda n: (
-        F.when(F.col("rows") >= least_group, F.col(n))
-        .when(F.col("l_rows") >= least_group, F.col(f"l_{n}"))
-        .otherwise(whole.select(n).scalar())
-    )
-    return joined.select("lang", "source", *[pick(n).alias(n) for n in names])
+    by_lang = merged(sketch, ["lang"])
+    langs = durable(with_prior(by_lang, ["lang"], shares(merged(sketch, []), []), []), "lang-sketches")
+    return fences(with_prior(sketch, ["lang", "source"], shares(langs, ["lang"]), ["lang"]), ["lang", "source"])
 
 
-def verdict(rate: dict[str, Column]) -> Column:
+def verdict() -> Column:
     inside = F.lit(True)
-    for name, low, high, _, _ in FENCES:
-        if low:
-            inside = inside & (rate[name] >= F.col(f"{name}_low"))
-        if high:
-            inside = inside & (rate[name] <= F.col(f"{name}_high"))
+    for name, side, *_ in FENCES:
+        fence = F.col(f"{name}_{side}")
+        inside = inside & (F.col(name) >= fence if side == "low" else F.col(name) <= fence)
     return F.coalesce(inside, F.lit(False))
 
 
@@ -167,7 +178,7 @@ def base_failed() -> Column:
     return (words < MIN_WORDS) | (100 * repeat > MAX_REPEAT_SHARE * words)
 
 
-def judged(docs: DataFrame, carry: list[str], least_group: int = LEAST_GROUP) -> DataFrame:
+def judged(docs: DataFrame, carry: list[str]) -> DataFrame:
     """Columns `carry` of `docs`, the base measures, base_failed and kept.
 
     The measured rows are written once; the sketches read only their narrow columns, and the thresholds,
@@ -181,21 +192,21 @@ def judged(docs: DataFrame, carry: list[str], least_group: int = LEAST_GROUP) ->
     )
     measured = with_base(slim, "body")
     measured = durable(measured.withColumns(rates()), "measured")
-    limits = durable(thresholds(measured, "lang", "source", least_group), "thresholds")
+    limits = durable(thresholds(measured, "lang", "source"), "thresholds")
     names = [c for c in limits.columns if c not in ("lang", "source")]
     limits = limits.select(F.struct("lang", "source").alias("group"), *names)
     both = lookup_join(measured.withColumn("group", F.struct("lang", "source")), limits, ["group"], "left", ["row"])
     failed = base_failed()
-    return both.select("row.*", *BASE, failed.alias("base_failed"), (~failed & verdict({f[0]: F.col(f[0]) for f in FENCES})).alias("kept"))
+    return both.select("row.*", *BASE, failed.alias("base_failed"), (~failed & verdict()).alias("kept"))
 
 
-def judge_documents(docs: DataFrame, least_group: int = LEAST_GROUP) -> DataFrame:
+def judge_documents(docs: DataFrame) -> DataFrame:
     """doc_id, the base measures, base_failed and kept of every row."""
-    return judged(docs.select(F.col("doc_id").cast("long"), "text", "lang", "source"), ["doc_id"], least_group)
+    return judged(docs.select(F.col("doc_id").cast("long"), "text", "lang", "source"), ["doc_id"])
 
 
-def without_odd(docs: DataFrame, least_group: int = LEAST_GROUP) -> DataFrame:
+def without_odd(docs: DataFrame) -> DataFrame:
     """The rows that are kept, with all columns of `docs`."""
     whole = spare_name(docs, "whole_row")
     bundled = docs.withColumn(whole, F.struct(*[F.col(f"`{c}`") for c in docs.columns]))
-    return judged(bundled, [whole], least_group).filter("kept").select(f"{whole}.*")
+    return judged(bundled, [whole]).filter("kept").select(f"{whole}.*")

@@ -72,7 +72,7 @@ def op7_byte_bpe(spark, sf_dir):
 
 @query
 def op8_simhash(spark, sf_dir):
-    return simhash.near_components(table(spark, sf_dir, "documents"), radius=2, similar=False)
+    return simhash.near_components(table(spark, sf_dir, "documents"), radius=2)
 
 
 @query

@@ -8,10 +8,11 @@ number of rows, so shards differ by one row at most (law `rows`); with more slac
 All rows of an arc, the stretch between two nodes, walk past the same shards. So the rows are counted per
 arc, a table of at most `shards * replicas` rows, and the driver only settles how many rows of each arc
 stop at each shard: shard by shard in rounds, a shard taking the rows that come to it in ring order while
-it has room. The rows find their stretch by their exact rank in their arc.
+it has room. The rows find their stretch by their exact rank in their arc, in the order of their hashes: so which
+rows of a full shard move on doesn't depend on files, but for rows that repeat a doc_id.
 
 Defined cases: null text has size 1 and crc 0; a null doc_id is a key like any other; repeated rows, which
-all fall into one arc, are ranked by task first and so never meet in one; an empty table gives no rows.
+have one hash, are ranked by task and so never meet in one; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -26,6 +27,8 @@ from xxhash import xxh64_intdigest
 
 from issueloom.llm.common import ranked
 from issueloom.operators.durable import durable
+from issueloom.operators.running import exclusive_sums
+from issueloom.operators.skew import salted_join
 
 SHARDS = 16
 REPLICAS = 256
@@ -107,7 +110,13 @@ def assign(keyed: DataFrame, shards: int, replicas: int, slack: float, order: li
         stop = lines[np.searchsorted(lines[:, 0], at, side="right") - 1]
         return pd.DataFrame({"shard": stop[:, 1].astype("int32"), "slot": stop[:, 2] + at - stop[:, 0]})
 
-    placed = ranked(rows, "_arc", "part", order, "_rank").withColumn("_seat", seat("_arc", "_rank"))
+    # The place of a row is that of its hash in the arc, and then its own among the rows of the hash.
+    hashes = rows.groupBy("_arc", "key_hash").agg(F.count(F.lit(1)).alias("n"))
+    before = exclusive_sums(hashes, ["_arc"], "key_hash", ["n"]).select("key_hash", "before_n")
+    inside = ranked(rows, "key_hash", "part", order, "_inside_hash")
+    spread = [c for c in inside.columns if c != "key_hash"]
+    joined = salted_join(inside, before, ["key_hash"], "inner", spread)
+    placed = joined.withColumn("_seat", seat("_arc", F.col("before_n") + F.col("_inside_hash")))
     return placed.select(*[c for c in keyed.columns if c not in ("part", "key_hash")], "_seat.shard", "_seat.slot")
 
 
@@ -123,4 +132,4 @@ def shard_documents(
         F.xxhash64(F.col("doc_id").cast("long")).alias("key_hash"),
         F.spark_partition_id().alias("part"),
     )
-    return assign(keyed, shards, replicas, slack, ["key_hash", "doc_id", "text_crc32", "size"])
+    return assign(keyed, shards, replicas, slack, ["doc_id", "text_crc32", "size"])

@@ -8,33 +8,22 @@ dropped. Meeting on a variant bounds the distance by the radius, so neighbours i
 meet there, and a variant of k fingerprints costs k - 1 links, not k². A variant can meet at most 65
 fingerprints, whatever the data, so no group of copies makes a large key.
 
-Two bits find few near copies. So with `similar`, which only op8 turns off as its contract has the radius
-alone, texts with a Jaccard similarity of at least NUM / DEN of their sets of WORDS-word shingles are linked
-as well. Each distinct text has HASHES minima of hashed shingles. BANDS bands of them are keys; the rows of all
-keys are sorted, over all partitions, by key and then by the other minima, and each meets the NEIGHBOURS
-before it at its key. Pairs whose minima do not rule it out are checked exactly, on their whole sets. A band
-of a pair at 0.8 agrees with probability 0.41, so one in 5,000 such pairs has no common key. In a key of more
-than NEIGHBOURS + 1 texts a pair is found if it is near in the order of some band or linked over others.
-
 Defined cases: null text counts as empty; without words the fingerprint is zero and links like any other;
 repeated rows share a fingerprint; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
-import pandas as pd
-import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from issueloom.llm.common import map_rows, spare_name, text_column, text_or_empty
+from issueloom.llm.common import spare_name, text_column, text_or_empty
 from issueloom.operators.durable import counted, durable
-from issueloom.operators.skew import lookup_join
+from issueloom.operators.skew import HOT_ROWS, salted_join
 
 RADIUS = 2
 SHINGLE = 3
@@ -42,17 +31,6 @@ SEED = 42
 BITS = 64
 BLOCK = 1 << 14
 MAX_ROUNDS = 60
-#: Similar texts: NUM / DEN of the shingles of WORDS words.
-WORDS = 5
-NUM, DEN = 4, 5
-BANDS = 16
-BAND = 4
-HASHES = BANDS * BAND
-NEIGHBOURS = 3
-#: Equal minima, of HASHES, below which a pair is not checked: 51 are expected at 0.8, with a deviation of 3.2.
-LOOSE = 36
-#: Numbers of the hash functions of the minima: each is (hash ^ number) * odd number.
-FLIPS, ODDS = np.random.default_rng(SEED).integers(0, 1 << 64, (2, HASHES, 1), dtype="u8") | np.array([0, 1], "u8")[:, None, None]
 
 
 def shingles(text: str, shingle: int, seed: int = SEED) -> list[int]:
@@ -102,111 +80,13 @@ def near_links(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
     )
 
 
-def shingle_set(text: str) -> np.ndarray:
-    return np.unique(np.array(shingles(text, WORDS), dtype="u8"))
-
-
-def minima(text: str) -> bytes | None:
-    """A key of 8 bytes for each band, then the low 16 bits of all minima; null without words."""
-    hashes = shingle_set(text)
-    if not len(hashes):
-        return None
-    least = np.full(HASHES, (1 << 64) - 1, dtype="u8")
-    for at in range(0, len(hashes), 1 << 12):
-        least = np.minimum(least, ((hashes[at : at + (1 << 12)] ^ FLIPS) * ODDS).min(axis=1))
-    least = least.astype("<u8")
-    keys = [xxh64_intdigest(band.tobytes(), i) for i, band in enumerate(least.reshape(BANDS, BAND))]
-    return np.array(keys, dtype="<u8").tobytes() + least.astype("<u2").tobytes()
-
-
-def marks_column(text):
-    """Fingerprint and minima in one pass: a second function would have a Python worker of its own."""
-
-    def run(blocks: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        for block in blocks:
-            yield pd.DataFrame({"fp": [fingerprint(t) for t in block], "minima": [minima(t) for t in block]})
-
-    run.__annotations__ = {"blocks": Iterator[pd.Series], "return": Iterator[pd.DataFrame]}
-    return F.pandas_udf(run, "fp long, minima binary")(text)
-
-
-def set_column(text):
-    return text_column(lambda: lambda texts: [shingle_set(t).tobytes() for t in texts], "binary")(text)
-
-
-def alike(a: pd.Series, b: pd.Series) -> pd.Series:
-    """Whether two sets have the similarity NUM / DEN at least."""
-
-    def enough(x: bytes, y: bytes) -> bool:
-        shared = len(np.intersect1d(np.frombuffer(x, "u8"), np.frombuffer(y, "u8"), assume_unique=True))
-        return shared * DEN >= ((len(x) + len(y)) // 8 - shared) * NUM
-
-    return pd.Series([enough(x, y) for x, y in zip(a, b, strict=True)], dtype="bool")
-
-
-def _neighbours(radius: int):
-    """A step over sorted rows that pairs each with the NEIGHBOURS before it at its key."""
-
-    def make():
-        last = None
-
-        def step(batch: pa.RecordBatch):
-            nonlocal last
-            wide = lambda name, kind: np.frombuffer(b"".join(batch.column(name).to_pylist()), kind)
-            now = [wide("key", "<u8"), wide("rest", "<u2").reshape(-1, HASHES), batch.column("fp").to_numpy(), batch.column("row").to_numpy()]
-            old = 0 if last is None else len(last[0])
-            now = now if last is None else [np.concatenate(both) for both in zip(last, now, strict=True)]
-            key, rest, fp, row = now
-            for apart in range(1, NEIGHBOURS + 1):
-                b = np.arange(max(old, apart), len(key))
-                b = b[key[b] == key[b - apart]]
-                b = b[np.bitwise_count((fp[b] ^ fp[b - apart]).view("u8")) > radius]  # others are linked anyway
-                b = b[(rest[b] == rest[b - apart]).sum(axis=1) >= LOOSE]
-                a = b - apart
-                lower = row[a] < row[b]
-                found = {"a": np.where(lower, row[a], row[b]), "b": np.where(lower, row[b], row[a])}
-                found |= {"fp_a": np.where(lower, fp[a], fp[b]), "fp_b": np.where(lower, fp[b], fp[a])}
-                yield pa.RecordBatch.from_pydict(found)
-            last = [x[-NEIGHBOURS:].copy() for x in now]
-
-        return step
-
-    return make
-
-
-def similar_links(printed: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """Links (a, b), a < b, of fingerprints of similar texts, of a written table (fp, row, text, minima).
-
-    Links inside the radius are left out. Copies share fingerprint and minima and count as one text.
-    """
-    once = printed.filter("minima IS NOT NULL").groupBy("fp", "minima").agg(F.min("row").alias("row"))
-    at = 8 * BANDS
-    keyed = once.select("fp", "row", "minima", F.explode(F.sequence(F.lit(0), F.lit(BANDS - 1))).alias("band")).select(
-        F.expr("substring(minima, 8 * band + 1, 8)").alias("key"),
-        # The minima from the next band on, then those before them.
-        F.expr(f"substring(minima, {at} + {2 * BAND} * (band + 1) + 1) || substring(minima, {at + 1}, {2 * BAND} * (band + 1))").alias("rest"),
-        "fp",
-        "row",
-    )
-    # By range of both, so a key of many texts has many partitions. At a border a band can miss a pair.
-    in_order = keyed.repartitionByRange("key", "rest", "row").sortWithinPartitions("key", "rest", "row")
-    met = map_rows(in_order, "a long, b long, fp_a long, fp_b long", _neighbours(radius))
-    pairs = durable(met.distinct(), "similar-pairs")
-    asked = durable(pairs.select(F.explode(F.array("a", "b")).alias("row")).distinct(), "similar-rows")
-    texts = lookup_join(printed.select("row", "text"), asked, ["row"], "inner", ["row"])
-    sets = durable(texts.select("row", set_column(F.col("text")).alias("set")), "similar-sets")
-    side = lambda name: sets.select(F.col("row").alias(name), F.col("set").alias(f"set_{name}"))
-    both = pairs.join(side("a"), "a").join(side("b"), "b").filter(F.pandas_udf(alike, "boolean")("set_a", "set_b"))
-    return both.select(F.least("fp_a", "fp_b").alias("a"), F.greatest("fp_a", "fp_b").alias("b")).distinct()
-
-
-def _star(arcs: DataFrame) -> DataFrame:
-    """Arcs (at, to) with `low`, the smallest of `at` and what it points to."""
+def _star(arcs: DataFrame, rows: int, hot_rows: int) -> DataFrame:
+    """Arcs (at, to) with `low`, the smallest of `at` and what it points to. A node of many arcs is salted."""
     lows = arcs.groupBy("at").agg(F.least(F.min("to"), F.col("at")).alias("low"))
-    return arcs.join(lows, "at")
+    return salted_join(arcs, lows, ["at"], "inner", ["to"], hot_rows, rows)
 
 
-def components(links: DataFrame, max_rounds: int = MAX_ROUNDS) -> DataFrame:
+def components(links: DataFrame, max_rounds: int = MAX_ROUNDS, hot_rows: int = HOT_ROWS) -> DataFrame:
     """(node, root) of every linked node; the root is the smallest node of its component.
 
     Alternates large-star and small-star steps (Kiveris et al. 2014). Each round is a written table.
@@ -214,8 +94,8 @@ def components(links: DataFrame, max_rounds: int = MAX_ROUNDS) -> DataFrame:
     edges, rows = counted(links.selectExpr("b AS child", "a AS parent").distinct(), "simhash-links")
     for _ in range(max_rounds):
         both = edges.selectExpr("child AS at", "parent AS to").unionByName(edges.selectExpr("parent AS at", "child AS to"))
-        large = _star(both).filter("to > at").selectExpr("to AS child", "low AS parent").distinct()
-        down = _star(large.selectExpr("child AS at", "parent AS to"))
+        large = _star(both, 2 * rows, hot_rows).filter("to > at").selectExpr("to AS child", "low AS parent").distinct()
+        down = _star(large.selectExpr("child AS at", "parent AS to"), 2 * rows, hot_rows)
         small = down.selectExpr("explode(array(at, to)) AS child", "low AS parent").filter("child != parent").distinct()
         digest = F.sum(F.xxhash64("child", "parent").cast("decimal(38,0)"))
         was = edges.agg(digest.alias("d")).first()["d"]
@@ -227,43 +107,37 @@ def components(links: DataFrame, max_rounds: int = MAX_ROUNDS) -> DataFrame:
     raise RuntimeError(f"components are not settled after {max_rounds} rounds")
 
 
-def fingerprint_groups(printed: DataFrame, radius: int = RADIUS, similar: bool = False) -> DataFrame:
+def fingerprint_groups(printed: DataFrame, radius: int = RADIUS) -> DataFrame:
     """(fp, component): each distinct fingerprint of a written table with its component's smallest one."""
     prints = durable(printed.select("fp").distinct(), "fingerprints")
-    links = near_links(prints, radius)
-    if similar:
-        links = links.unionByName(similar_links(printed, radius))
-    linked = components(links).withColumnRenamed("node", "fp")
+    linked = components(near_links(prints, radius)).withColumnRenamed("node", "fp")
     return prints.join(linked, "fp", "left").select("fp", F.coalesce("root", "fp").alias("component"))
 
 
-def near_components(docs: DataFrame, radius: int = RADIUS, similar: bool = True) -> DataFrame:
+def near_components(docs: DataFrame, radius: int = RADIUS, hot_rows: int = HOT_ROWS) -> DataFrame:
     """doc_id, fingerprint and component_id, the smallest doc_id reachable over links; one row per row."""
     texts = docs.select(F.col("doc_id").cast("long"), text_or_empty())
-    if similar:
-        marked = texts.select("*", marks_column("text").alias("marks"), F.monotonically_increasing_id().alias("row"))
-        printed = durable(marked.select("doc_id", "text", "row", "marks.fp", "marks.minima"), "simhash")
-    else:
-        printed = durable(texts.select("doc_id", fingerprint_column("text").alias("fp")), "simhash")
-    groups = durable(fingerprint_groups(printed, radius, similar), "simhash-groups")
+    marked = texts.select("doc_id", fingerprint_column("text").alias("fp"), F.monotonically_increasing_id().alias("row"))
+    printed, rows = counted(marked, "simhash")
+    groups = durable(fingerprint_groups(printed, radius), "simhash-groups")
     lows = printed.groupBy("fp").agg(F.min("doc_id").alias("low"))
+    # One row per fingerprint on both sides; a component of many is salted.
     low = groups.join(lows, "fp").groupBy("component").agg(F.min("low").alias("component_id"))
-    named = durable(groups.join(low, "component").select("fp", "component_id"), "simhash-names")
-    return printed.join(named, "fp").select(
+    named = durable(salted_join(groups, low, ["component"], "inner", ["fp"], hot_rows, rows).select("fp", "component_id"), "simhash-names")
+    return salted_join(printed, named, ["fp"], "inner", ["row"], hot_rows, rows).select(
         "doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id"
     )
 
 
-def one_per_component(docs: DataFrame, radius: int = RADIUS, similar: bool = True) -> DataFrame:
+def one_per_component(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     """The row of each component with the smallest doc_id, nulls last, with all columns of `docs`."""
-    marks, row = spare_name(docs, "simhash_marks"), spare_name(docs, "simhash_row")
+    fp, row = spare_name(docs, "simhash_fp"), spare_name(docs, "simhash_row")
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    marked = marks_column(text) if similar else F.struct(fingerprint_column(text).alias("fp"))
     # The row number is written with the row, so it is the same for every later reader.
-    printed = durable(docs.withColumn(marks, marked).withColumn(row, F.monotonically_increasing_id()), "simhash-docs")
-    keys = printed.select(f"{marks}.fp", F.col("doc_id").alias("_id"), F.col(row).alias("_row"))
-    texts = printed.select(f"{marks}.*", F.col(row).alias("row"), text.alias("text"))
-    groups = fingerprint_groups(texts, radius, similar)
+    marked = docs.withColumn(fp, fingerprint_column(text)).withColumn(row, F.monotonically_increasing_id())
+    printed = durable(marked, "simhash-docs")
+    keys = printed.select(F.col(fp).alias("fp"), F.col("doc_id").alias("_id"), F.col(row).alias("_row"))
+    groups = fingerprint_groups(keys, radius)
     first = F.min(F.struct(F.col("_id").isNull().alias("no_id"), "_id", "_row")).alias("first")
     firsts = keys.groupBy("fp").agg(first).join(groups, "fp")
     kept = firsts.groupBy("component").agg(F.min("first").alias("first")).select(F.col("first._row").alias(row))

@@ -35,6 +35,8 @@ SMOOTHING = 1.0
 RIDGE = 1e-3
 STEPS = 400
 FOLDS = 5
+#: Code points that are turned to n-grams together.
+BLOCK = 1 << 18
 
 
 class Model(NamedTuple):
@@ -62,8 +64,8 @@ def ngram_buckets(texts: list[str], orders=ORDERS, buckets: int = BUCKETS):
             yield mixed[whole], owner[: len(rolled)][whole]
 
 
-def _blocks(texts: list[str], most: int = 1 << 20):
-    """Runs of texts of about `most` code points together; a longer text is alone."""
+def _blocks(texts: list[str], most: int):
+    """Runs (first text, texts) of about `most` code points together; a longer text is alone."""
     start = size = 0
     for at, text in enumerate(texts):
         if size and size + len(text) > most:
@@ -74,6 +76,28 @@ def _blocks(texts: list[str], most: int = 1 << 20):
         yield start, texts[start:]
 
 
+def present(texts: list[str], place: np.ndarray | None = None, most: int = BLOCK):
+    """For runs of texts: (first text, number of texts, sorted distinct text * BUCKETS + place of its n-grams).
+
+    `place` maps buckets to places, -1 for those to leave out; without it buckets are places. A text of more
+    than `most` code points is read in slices that overlap by the longest n-gram, so memory is bounded.
+    """
+    for start, block in _blocks(texts, most):
+        lowered = [t.lower() for t in block]
+        if len(block) == 1 and len(lowered[0]) > most:
+            runs = ([lowered[0][at : at + most + max(ORDERS) - 1]] for at in range(0, len(lowered[0]), most))
+        else:
+            runs = iter([lowered])
+        found = np.empty(0, dtype="int64")
+        for run in runs:
+            for bucket, owner in ngram_buckets(run):
+                at = bucket.astype("int32") if place is None else place[bucket]
+                known = slice(None) if place is None else at >= 0
+                keys = np.unique(owner[known].astype("int64") * BUCKETS + at[known])
+                found = np.union1d(found, keys) if len(found) else keys
+        yield start, len(block), found
+
+
 def sample_labels(labels: DataFrame, per_class: int = PER_CLASS, keep=None) -> DataFrame:
     """(doc_id, toxic), at most `per_class` rows of each class: those with the smallest hash of the id."""
     known = labels.select(F.col("doc_id").cast("long"), F.col("toxic").cast("int")).filter("doc_id IS NOT NULL")
@@ -88,25 +112,26 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, featur
     """Fit on the labelled sample. `keep` is a condition on doc_id that labels must meet to be learnt from."""
     sample = durable(sample_labels(labels, per_class, keep), "toxic-sample")
     labelled = docs.select(F.col("doc_id").cast("long"), text_or_empty()).join(F.broadcast(sample), "doc_id")
-    # One text per id, combined before the shuffle: an id that many rows repeat must not swell the sample.
-    rows = labelled.groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
+    marked = labelled.select("*", F.xxhash64("text").alias("hash"), F.monotonically_increasing_id().alias("row"))
+    written = durable(marked, "toxic-texts")
+    # One text per id: that of the smallest hash. Longs are compared, and at most 2 * per_class rows broadcast.
+    lows = written.groupBy("doc_id").agg(F.min("hash").alias("hash"))
+    first = written.join(F.broadcast(lows), ["doc_id", "hash"]).groupBy("doc_id", "toxic").agg(F.min("row").alias("row"))
+    rows = written.join(F.broadcast(first.select("doc_id", "toxic", "row")), ["doc_id", "toxic", "row"], "left_semi")
 
     def make():
-        def present(batch: pa.RecordBatch):
+        def grams(batch: pa.RecordBatch):
             texts = batch.column("text").to_pylist()
             toxic = batch.column("toxic").to_pylist()
-            for start, block in _blocks(texts):
-                found = [np.stack(x[::-1]) for x in ngram_buckets(block)]
-                keys = np.unique(np.concatenate([x[0].astype("int64") * BUCKETS + x[1] for x in found]))
-                owner, bucket = np.divmod(keys, BUCKETS)
-                ends = np.searchsorted(owner, np.arange(len(block) + 1))
-                lists = [bucket[a:b].astype("int32") for a, b in zip(ends[:-1], ends[1:], strict=True)]
+            for start, n, keys in present(texts):
+                ends = np.searchsorted(keys, np.arange(n + 1) * BUCKETS)
+                lists = [(keys[a:b] % BUCKETS).astype("int32") for a, b in zip(ends[:-1], ends[1:], strict=True)]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(toxic[start : start + len(block)], pa.int32()), pa.array(lists, pa.list_(pa.int32()))],
+                    [pa.array(toxic[start : start + n], pa.int32()), pa.array(lists, pa.list_(pa.int32()))],
                     ["toxic", "buckets"],
                 )
 
-        return present
+        return grams
 
     learnt = durable(map_rows(rows.select("toxic", "text"), "toxic int, buckets array<int>", make), "toxic-grams")
     sizes = {r["toxic"]: r["n"] for r in learnt.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
@@ -171,23 +196,14 @@ def scorer(model: Model):
     """A function of a list of texts that gives their scores."""
     table = np.full(BUCKETS, -1, dtype="int32")
     table[model.buckets] = np.arange(len(model.buckets))
-    width = max(1, len(model.buckets))
 
     def scores(texts: list[str]) -> list[float]:
-        margins = []
-        for _, block in _blocks(texts):
-            hits = []
-            for bucket, owner in ngram_buckets(block):
-                place = table[bucket]
-                known = np.flatnonzero(place >= 0)
-                hits.append(owner[known].astype("int64") * width + place[known])
-            owner, place = np.divmod(np.unique(np.concatenate(hits)), width)
-            margin = np.full(len(block), model.intercept)
+        margin = np.full(len(texts), model.intercept)
+        for start, n, keys in present(texts, table):
+            owner, place = np.divmod(keys, BUCKETS)
             if len(place):
-                margin += np.bincount(owner, model.weights[place], len(block))
-            margins.append(margin)
-        joined = np.concatenate(margins) if margins else np.empty(0)
-        return (1 / (1 + np.exp(-np.clip(joined, -50, 50)))).tolist()
+                margin[start : start + n] += np.bincount(owner, model.weights[place], n)
+        return (1 / (1 + np.exp(-np.clip(margin, -50, 50)))).tolist()
 
     return scores
 

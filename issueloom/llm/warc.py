@@ -8,21 +8,25 @@ of the source's id, so that a retried task writes the same records.
 
 A response is a row (record_id, target_uri, date, ip, headers map<string,string>, block binary,
 payload_digest, block_digest), the block being an HTTP message. `responses` makes such rows from a table
-of pages; `write_warc` stores record bytes as gzip members in files, one per partition.
+of pages, `warcfiles.read_responses` from WARC files; `warcfiles.write_warc` stores records in such files.
+Transfer and content encodings (chunked, gzip, deflate) are undone before the text is read. The metadata record
+holds the HTTP headers and the source's WARC headers as fields.
 
 Defined cases: a null block is an empty one; a block without an empty line is all body; a missing digest
 is computed; null ids and addresses leave their header out; repeated rows give records with equal ids; text
-that isn't UTF-8 is decoded with replacement marks; an empty table gives no rows; other columns are ignored.
+that isn't UTF-8 is decoded with replacement marks; a body whose encoding is unknown or broken has no text, and
+the metadata field `contentEncodingKept` names the encoding; an empty table gives no rows; other columns are
+ignored.
 """
 
 from __future__ import annotations
 
 import base64
-import gzip
 import hashlib
 import html
 import re
 import uuid
+import zlib
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -73,6 +77,42 @@ def split_http(block: bytes) -> tuple[list[tuple[str, str]], bytes]:
     return [("", lines[0]), *pairs], block[cut.end() :]
 
 
+def unchunked(body: bytes) -> bytes:
+    """The body without the frames of chunked transfer; raises ValueError where they are broken."""
+    parts, at = [], 0
+    while True:
+        end = body.index(b"\n", at)
+        size = int(body[at:end].split(b";")[0].strip(), 16)
+        if not size:
+            return b"".join(parts)
+        if size < 0 or end + 1 + size > len(body):
+            raise ValueError("a chunk is cut off")
+        parts.append(body[end + 1 : end + 1 + size])
+        at = body.index(b"\n", end + 1 + size) + 1
+
+
+UNDO = {
+    "chunked": unchunked,
+    "gzip": lambda b: zlib.decompressobj(47).decompress(b),
+    "deflate": lambda b: zlib.decompressobj(15).decompress(b) if b[:1] == b"\x78" else zlib.decompressobj(-15).decompress(b),
+    "identity": lambda b: b,
+    "": lambda b: b,
+}
+UNDO["x-gzip"] = UNDO["gzip"]
+
+
+def undone(body: bytes, encodings: str) -> tuple[bytes, str | None]:
+    """The body with its encodings, a comma list in the order they were applied, undone; what could not be undone."""
+    names = [x.strip().lower() for x in encodings.split(",")]
+    while names:
+        try:
+            body = UNDO[names[-1]](body)
+        except (KeyError, ValueError, zlib.error):
+            return body, ", ".join(names)
+        names.pop()
+    return body, None
+
+
 def decode(body: bytes, content_type: str) -> str:
     named = CHARSET.search(content_type)
     try:
@@ -93,7 +133,11 @@ def build(source: dict) -> list[dict]:
     http, body = split_http(block)
     by_name = {k.lower(): v for k, v in http}
     kind = by_name.get("content-type", "")
-    page = decode(body, kind)
+    body, framed = undone(body, by_name.get("transfer-encoding", ""))
+    plain, kept = (body, framed) if framed else undone(body, by_name.get("content-encoding", ""))
+    page = "" if kept else decode(plain, kind)
+    warc_headers = source["headers"] or []
+    warc_headers = list(warc_headers.items()) if isinstance(warc_headers, dict) else warc_headers
     payload_digest = source["payload_digest"] or digest(body)
     title, language = TITLE.search(page), LANGUAGE.search(page)
     fields = [
@@ -101,7 +145,9 @@ def build(source: dict) -> list[dict]:
         ("sourceBlockDigest", source["block_digest"] or digest(block)),
         ("sourceContentLength", str(len(body))),
         ("httpStatus", by_name.get("")),
+        ("contentEncodingKept", kept),
         *((f"httpHeader-{k}", v) for k, v in http if k),
+        *((f"sourceHeader-{k}", v) for k, v in warc_headers),
         ("title", html.unescape(title[1]).strip() if title else None),
         ("language", language[1] if language else None),
         *(("outlink", html.unescape(next(x for x in m if x))) for m in LINKS.findall(page) if any(m)),
@@ -139,7 +185,7 @@ def build(source: dict) -> list[dict]:
                 "content_type": content_type,
                 "block_digest": own_digest,
                 "source_payload_digest": payload_digest,
-                "source_headers": list((source["headers"] or {}).items()) if isinstance(source["headers"], dict) else source["headers"] or [],
+                "source_headers": warc_headers,
                 "content_length": len(own),
                 "block": own,
                 "record": record_bytes(headers, own),
@@ -205,22 +251,6 @@ def responses(pages: DataFrame) -> DataFrame:
     )
 
 
-def write_warc(records: DataFrame, path: str) -> None:
-    """Store the record bytes as gzip members: a binary file per row group, read back by `read_warc`.
-
-    Each row of the written table is one partition's file content, so lost tasks leave no half file.
-    """
-
-    def make():
-        def pack(batch: pa.RecordBatch):
-            members = b"".join(gzip.compress(r, 6, mtime=0) for r in batch.column("record").to_pylist())
-            yield pa.RecordBatch.from_pydict({"member": pa.array([members], pa.binary())})
-
-        return pack
-
-    map_rows(records.select("record"), "member binary", make).write.parquet(path)
-
-
 def parse_records(data: bytes) -> list[tuple[dict[str, str], bytes]]:
     """(headers, block) of each record in uncompressed WARC bytes."""
     found, at = [], 0

@@ -95,3 +95,25 @@ def test_rows_of_one_id_do_not_use_up_the_share(spark):
     assert got[200][0][1] == 201
     for q in (100, 200):
         assert len({i for _, i in got[q]} & {i for _, i in want[q]}) >= 8
+
+
+def test_a_vector_of_odd_length_at_the_first_place_changes_nothing(spark):
+    rng = np.random.default_rng(6)
+    rows = [(i, v.tolist()) for i, v in enumerate(rng.normal(size=(300, 8)))]
+    make = lambda given: spark.createDataFrame(given, "vec_id long, embedding array<double>")
+    ids = make(rows).orderBy(F.xxhash64("vec_id")).select("vec_id").limit(2).collect()
+    odd = {ids[0].vec_id: 7, ids[1].vec_id: 9}
+    changed = [(i, (v + v)[: odd[i]] if i in odd else v) for i, v in rows]
+    without = [r for r in rows if r[0] not in odd]
+    search = lambda given: collected(pivots.nearest(make(given), F.col("vec_id") % 100 == 0, pivots=20, prefix=8))
+    assert search(changed) == search(without) != {}
+
+
+def test_the_smallest_vector_of_a_repeated_query_asks(spark):
+    rng = np.random.default_rng(7)
+    rows = [(i, v.tolist()) for i, v in enumerate(rng.normal(size=(200, 4)), 1)]
+    own = [(100, [-9.0, 0.0, 0.0, 0.0]), (100, [9.0, 0.0, 0.0, 0.0])]
+    rows = [r for r in rows if r[0] != 100]
+    make = lambda given: spark.createDataFrame(given, "vec_id long, embedding array<double>").repartition(3)
+    search = lambda given: collected(pivots.nearest(make(given), F.col("vec_id") == 100, pivots=20, prefix=8))
+    assert search(rows + own) == search(rows + own[::-1]) == search(rows + own[:1])

@@ -48,7 +48,7 @@ def test_buckets_are_narrow(spark):
 
 def test_sketches_merge_to_the_sketch_of_all(spark):
     rows = cases.docs(spark)
-    slim = rows.select("lang", "source", F.coalesce("text", F.lit("")).alias("body"))
+    slim = rows.select("lang", "source", F.coalesce("text", F.lit("")).alias("body"))  # of rows inside the base rules
     measured = quality.with_base(slim, "body").withColumns(quality.rates())
     by_group = quality.merged(quality.sketches(measured, "lang", "source"), [])
     whole = quality.merged(quality.sketches(measured.withColumn("lang", F.lit("x")), "lang", "source"), [])
@@ -66,6 +66,19 @@ def test_thresholds_follow_the_group(spark):
     assert not kept[2000] and not kept[2002]
 
 
+def test_a_small_group_has_the_fence_of_its_language_and_a_large_one_its_own(spark):
+    plain, marked = "some plain words that go on for a while here and then end in other ways", "some #a# #b# #c# that go #d# for #e# while here now"
+    shares = []
+    for n in (1, 5, 400):
+        given = [(i, f"{plain} {i}", "en", "plain") for i in range(2000)] + [(5000 + i, f"{marked} {i}", "en", "dense") for i in range(n)]
+        rows = spark.createDataFrame(given, "doc_id long, text string, lang string, source string")
+        measured = quality.with_base(rows.withColumnRenamed("text", "body"), "body").withColumns(quality.rates())
+        low = {r.source: r for r in quality.thresholds(measured, "lang", "source").collect()}
+        shares.append(low["dense"].symbol_rate_high)
+        assert low["plain"].symbol_rate_high == 30
+    assert shares[0] == shares[1] == 30 and shares[2] > 200
+
+
 def test_filter_keeps_columns_and_rows(spark):
     docs = cases.docs(spark)
     judged = quality.judge_documents(docs)

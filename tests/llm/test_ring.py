@@ -4,6 +4,8 @@ from collections import Counter
 import cases
 import numpy as np
 
+from pyspark.sql import functions as F
+
 from issueloom.llm import ring
 
 
@@ -60,5 +62,11 @@ def test_few_rows_move_when_a_shard_is_added(spark):
     assert sum(after[i] == 8 for i in moved) > 0.5 * len(moved)
 
 
+def test_another_layout_of_the_files_moves_no_row(spark):
+    docs = spark.range(3000).selectExpr("id AS doc_id", "repeat('t', cast(id % 9 AS int)) AS text")
+    first, second = (sorted(map(tuple, ring.shard_documents(d).select("doc_id", "shard", "slot").collect())) for d in (docs.repartition(7), docs.orderBy(F.desc("doc_id"))))
+    assert first == second
+
+
 def test_empty_table(spark):
     assert ring.shard_documents(cases.empty(spark)).collect() == []

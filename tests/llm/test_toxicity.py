@@ -21,6 +21,45 @@ def test_ngrams_equal_brute_force():
         assert len(set(by_gram.values())) >= len(by_gram) - 1
 
 
+def test_slices_of_long_texts_hold_all_ngrams_once():
+    rng = random.Random(3)
+    long = "".join(rng.choice("abcdeİΣ") for _ in range(5000))
+    given = ["Abcab", "", long, "xy", "abc" * 40, "日本語テキスト"]
+    want = {i: set(np.concatenate([b for b, _ in toxicity.ngram_buckets([t.lower()])]).tolist()) for i, t in enumerate(given)}
+    for most in (64, 300, 1 << 18):
+        got = {}
+        for start, n, keys in toxicity.present(given, most=most):
+            assert (np.diff(keys) > 0).all()
+            for i in range(n):
+                got[start + i] = set((keys[keys // toxicity.BUCKETS == i] % toxicity.BUCKETS).tolist())
+        assert got == want
+
+
+def slow_fit(flat, owner, target, ratios, steps=20_000):
+    """Plain gradient steps on the dense table."""
+    x = np.zeros((len(target), len(ratios)))
+    x[owner, flat] = 1
+    x = x * ratios
+    each = np.where(target == 1, 0.5 / target.sum(), 0.5 / (len(target) - target.sum()))
+    w, b = np.zeros(len(ratios)), 0.0
+    rate = 4 / ((x**2).sum(axis=1).max() + 1)
+    for _ in range(steps):
+        off = each * (1 / (1 + np.exp(-(x @ w + b))) - target)
+        w, b = w - rate * (x.T @ off + toxicity.RIDGE * w), b - rate * off.sum()
+    return w * ratios, b
+
+
+def test_fit_reaches_the_optimum():
+    rng = np.random.default_rng(5)
+    x = rng.random((80, 6)) < 0.4
+    target = (x[:, 0] | (rng.random(80) < 0.2)).astype("float64")
+    owner, flat = np.nonzero(x)
+    ratios = rng.normal(size=6)
+    weights, intercept = toxicity.fit(flat, owner, target, ratios)
+    want, at = slow_fit(flat, owner, target, ratios)
+    assert np.allclose(weights, want, atol=0.1) and abs(intercept - at) < 0.1
+
+
 def planted(n=600):
     rng = random.Random(1)
     words = ["".join(rng.choice("etaoinshr") for _ in range(rng.randint(2, 8))) for _ in range(400)]
