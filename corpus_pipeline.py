@@ -29,7 +29,7 @@ def drop_odd(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest doc_id of each group of near fingerprints and similar texts."""
+    """The document with the smallest doc_id of each group of fingerprints that few bits part (those of op8)."""
     return simhash.one_per_component(docs)
 
 
