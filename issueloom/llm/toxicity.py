@@ -152,10 +152,17 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, featur
     ratios = np.array([r for _, r in order])
 
     def narrow():
+        place = np.full(BUCKETS, -1, dtype="int32")
+        place[buckets] = np.arange(len(buckets))
+
         def keep_chosen(batch: pa.RecordBatch):
-            lists = [np.array(x, "int32") for x in batch.column("buckets").to_pylist()]
-            kept = [np.searchsorted(buckets, np.intersect1d(x, buckets, assume_unique=True)) for x in lists]
-            places = pa.array([k.astype("int32") for k in kept], pa.list_(pa.int32()))
+            column = batch.column("buckets")
+            sizes = column.value_lengths().to_numpy()
+            found = place[column.flatten().to_numpy()]
+            known = found >= 0
+            counts = np.bincount(np.repeat(np.arange(len(sizes)), sizes)[known], minlength=len(sizes))
+            ends = pa.array(np.concatenate([[0], np.cumsum(counts)]).astype("int32"))
+            places = pa.ListArray.from_arrays(ends, pa.array(found[known]))
             yield pa.RecordBatch.from_arrays([batch.column("toxic"), places], ["toxic", "places"])
 
         return keep_chosen
