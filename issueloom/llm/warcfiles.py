@@ -84,7 +84,9 @@ class WarcReader(DataSourceReader):
     def partitions(self) -> list[WarcFile]:
         return [WarcFile(f) for f in warc_files(self.path)]
 
-    def read(self, partition: WarcFile) -> Iterator[tuple]:
+    def read(self, partition: WarcFile | None) -> Iterator[tuple]:
+        if partition is None:  # a folder without files
+            return
         system, _ = place(self.path)
         with system.open_input_stream(partition.path, compression=None) as raw:
             stream = gzip.GzipFile(fileobj=raw) if partition.path.endswith(".gz") else raw
