@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from issueloom.functions.json import array_field, label_names, whole_number
 from issueloom.operators import filters, groups, ingest, limits, model, quality, reactions, report, similar
-from issueloom.operators.durable import counted, durable
+from issueloom.operators.durable import durable
 from issueloom.plans import tables
 from issueloom.plans.report import report_lines as assemble
 from issueloom.plans.standin import standin
@@ -274,8 +274,7 @@ def sort_by_priority(spark, sf):
 @query
 def top_urgent_fallback(spark, sf):
     issues = tables.issues(spark, sf).filter(~F.col("is_pr"))
-    # Lists whose ids are all unknown numbers of another tracker count as none.
-    no_list = tables.urgent(spark, sf).filter("issue_id < 0")
+    no_list = model.parse_analysis(tables.answers_without_ids(spark, sf)).urgent
     return report.top_urgent_fallback(tables.priorities(spark, sf), issues, no_list)
 
 
@@ -349,8 +348,8 @@ def pack_prompts(spark, sf):
 def apply_model(spark, sf):
     issues = reactions.attach_reactions(tables.issues(spark, sf), tables.reactions(spark, sf))
     blocks = durable(model.render_prompt_block(issues).select("repo", "page", "pos", "block"), "blocks")
-    prompts, n_prompts = counted(model.pack_prompts(blocks, *ISSUE_PROMPT, PREAMBLE), "prompts")
-    return model.apply_model(prompts, standin(), n_prompts=n_prompts)
+    prompts = durable(model.pack_prompts(blocks, *ISSUE_PROMPT, PREAMBLE), "prompts")
+    return model.apply_model_once(prompts, standin(), model.new_ledger(spark))
 
 
 @query

@@ -21,7 +21,14 @@ from issueloom.operators.ingest import (
     union_repos,
 )
 from issueloom.operators.limits import limit_global, limit_per_repo
-from issueloom.operators.model import apply_model, pack_prompts, parse_analysis, render_prompt_block, with_parsed
+from issueloom.operators.model import (
+    apply_model_once,
+    new_ledger,
+    pack_prompts,
+    parse_analysis,
+    render_prompt_block,
+    with_parsed,
+)
 from issueloom.operators.reactions import attach_reactions
 from issueloom.operators.report import (
     KEY,
@@ -33,10 +40,15 @@ from issueloom.operators.report import (
     report_summary,
     top_urgent,
 )
+from issueloom.operators.running import exclusive_sums
 from issueloom.operators.similar import similar_links
 from issueloom.operators.skew import lookup_join
 from issueloom.plans.report import report_lines
 
+#: Issues that a landed page holds at most, and how many times the pages so far a wave has.
+PAGE_ISSUES = 100
+GROWTH = 3
+
 
 class Triage(NamedTuple):
     """The report lines and the tables behind them; None, but for the rejects, when no issue was found."""
@@ -55,12 +67,19 @@ def landed_issues(
     as_of: datetime | None = None,
     lookback: DataFrame | None = None,
     since: datetime | None = None,
+    span: DataFrame | None = None,
 ) -> DataFrame:
     """Open issues of the listed repositories, without pull requests, updated recently enough.
 
-    Elements whose number cannot be read are left to `page_rejects`.
+    Elements whose number cannot be read are left to `page_rejects`. `span (repo_pos, first_page, last_page)`
+    leaves out all other pages before they are parsed.
     """
-    raw = exclude_pull_requests(explode_pages(union_repos(repos, pages)))
+    if span is None:
+        listed = union_repos(repos, pages)
+    else:
+        listed = union_repos(repos.join(span, "repo_pos"), pages).filter("page BETWEEN first_page AND last_page")
+        listed = listed.drop("first_page", "last_page")
+    raw = exclude_pull_requests(explode_pages(listed))
     readable = normalize_issue(raw).filter(F.col("number").isNotNull())
     issues = updated_since(open_only(readable), since)
     if lookback is None:
@@ -70,18 +89,67 @@ def landed_issues(
     return lookback_filter(issues, lookback, as_of)
 
 
-def kept_issues(found: DataFrame, limit: int | None, per_repo: bool) -> DataFrame:
-    """The found issues up to the limit, with their texts, written once.
+def page_ranks(repos: DataFrame, pages: DataFrame, per_repo: bool) -> DataFrame:
+    """(repo_pos, page, before_n): how many pages of the listed repositories, or of the page's own, come before.
+
+    Only the names of pages are read, none is parsed.
+    """
+    named = union_repos(repos, pages.select("repo", "page")).groupBy("repo_pos", "page").agg(F.lit(1).alias("n"))
+    if per_repo:
+        return durable(exclusive_sums(named, ["repo_pos"], "page", ["n"]).drop("n"), "page-ranks")
+    placed = named.withColumn("at", F.struct("repo_pos", "page"))
+    return durable(exclusive_sums(placed, [], "at", ["n"]).drop("n", "at"), "page-ranks")
+
+
+def first_issues(
+    repos: DataFrame,
+    pages: DataFrame,
+    find: Callable[[DataFrame], DataFrame],
+    limit: int,
+    per_repo: bool,
+    wave: int | None = None,
+) -> DataFrame:
+    """Found issues of the first pages, as many pages as hold the limit; a written table.
+
+    Pages are parsed in waves, in arrival order, each GROWTH times as many as all before it, and each page once.
+    A wave takes the pages next in line, or those of the repositories that are still below their limit. The
+    first one has `wave` pages, by default as many as would hold the limit if a quarter of the issues is kept.
+    `find` gives the issues of the pages in a span.
+    """
+    ranks = page_ranks(repos, pages, per_repo)
+    upto, done = 0, wave or -(-4 * limit // PAGE_ISSUES)
+    found: DataFrame | None = None
+    total = 0
+    open_pages = ranks
+    while True:
+        span = open_pages.filter((F.col("before_n") >= upto) & (F.col("before_n") < done)).groupBy("repo_pos").agg(
+            F.min("page").alias("first_page"), F.max("page").alias("last_page")
+        )
+        part, rows = counted(find(durable(span, "page-span")), "found")
+        total += rows
+        found = part if found is None else found.unionByName(part)
+        if per_repo:
+            full = durable(found.groupBy("repo_pos").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= limit), "full")
+            open_pages = lookup_join(ranks, full.select("repo_pos", F.lit(True).alias("full")), ["repo_pos"], "left", ["page"])
+            open_pages = open_pages.filter("full IS NULL").drop("full")
+        elif total >= limit:
+            return found
+        if open_pages.filter(F.col("before_n") >= done).isEmpty():
+            return found
+        upto, done = done, done * (1 + GROWTH)
+
+
+def kept_issues(
+    repos: DataFrame, pages: DataFrame, find: Callable[[DataFrame | None], DataFrame], limit: int | None, per_repo: bool
+) -> DataFrame:
+    """The issues that `find` finds up to the limit, with their texts, written once.
 
-    The cut is made on a written table of places only. The issues are then read again and joined to the
-    places that are left.
+    With a limit, pages behind the one that fills it are not parsed.
     """
     if limit is None:
-        return durable(found, "kept")
-    place = ["repo_pos", "page", "pos"]
-    places = durable(found.select(*place), "places")
-    cut = limit_per_repo(places, limit) if per_repo else limit_global(places, limit)
-    return durable(found.join(cut, place, "left_semi"), "kept")
+        return durable(find(None), "kept")
+    found = first_issues(repos, pages, find, limit, per_repo)
+    return durable(limit_per_repo(found, limit) if per_repo else limit_global(found, limit), "kept")
 
 
 def rejected(landed: DataFrame, answers: DataFrame) -> DataFrame:
@@ -114,6 +182,7 @@ def triage_report(
     similarity: tuple[int, int] | None = None,
     header: list[str] | None = None,
     strict: bool = False,
+    ledger: str | None = None,
 ) -> Triage:
     """Read, limit, count reactions, ask the model, parse its answers, and lay out the report.
 
@@ -123,19 +192,22 @@ def triage_report(
 
     Unreadable pages, elements and answers are in `rejects`; with `strict` a bad page fails the run. Kept
     issues, prompts and answers are written to the checkpoint folder, so that pages are not parsed again
-    and the model is asked once.
+    and the model is asked once. A `ledger` folder keeps the answers for later runs: one that follows a run that
+    failed asks only for what is missing.
     """
     bad_pages = page_rejects(pages.join(repos.select("repo").distinct(), "repo", "left_semi"))
     if strict and (bad := bad_pages.first()) is not None:
         raise ValueError(f"page {bad['page']} of {bad['repo']}: {bad['reason']}")
-    kept = kept_issues(landed_issues(repos, pages, as_of, lookback, since), limit, per_repo)
+    find = lambda span: landed_issues(repos, pages, as_of, lookback, since, span)
+    kept = kept_issues(repos, pages, find, limit, per_repo)
     if kept.isEmpty():
         return Triage(None, rejects=rejected(bad_pages, bad_pages.limit(0)))
 
     blocks = render_prompt_block(attach_reactions(kept, reactions, issues_limited=True))
     packed = pack_prompts(blocks.select("repo", "page", "pos", "block"), max_issues, max_chars, preamble)
-    prompts, n_prompts = counted(packed, "prompts")
-    answers = durable(with_parsed(apply_model(prompts, make_model, prompts_per_task, n_prompts)), "answers")
+    prompts = durable(packed, "prompts")
+    asked = apply_model_once(prompts, make_model, ledger or new_ledger(prompts.sparkSession), prompts_per_task)
+    answers = durable(with_parsed(asked), "answers")
     places = repos.groupBy("repo").agg(F.min("repo_pos").alias("repo_pos"))
     analysis = parse_analysis(lookup_join(answers, places, ["repo"], "inner", spread=["batch_id"]))
 

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
+#: Bytes that are copied at a time.
+BUFFER = 1 << 16
 LINE_ORDER = ["section", "rank", "repo_pos", "repo", "batch_id", "pos", "part_repo", "part"]
 
 
@@ -15,14 +17,40 @@ def in_report_order(lines: DataFrame) -> DataFrame:
 def write_report(lines: DataFrame, path: str, single_file: bool = False) -> None:
     """Write the report as text. Part files in name order make up the report.
 
-    `single_file` writes one part, for reports known to be small.
+    With `single_file` the sorted parts are then joined to one file, `report.md`, in the folder. Its bytes pass
+    from part to part through a buffer of the driver, so a report of any size becomes one file.
     """
-    ordered = in_report_order(lines)
+    in_report_order(lines).select("line").write.mode("overwrite").text(path)
     if single_file:
-        ordered = ordered.coalesce(1).sortWithinPartitions(
-            *[c for c in LINE_ORDER if c in lines.columns]
-        )
-    ordered.select("line").write.mode("overwrite").text(path)
+        join_parts(lines.sparkSession, path, "report.md")
+
+
+def join_parts(spark: SparkSession, path: str, name: str) -> None:
+    """Put the part files of a folder, in name order, into one file of it, and delete them.
+
+    The file has another name until it is whole.
+    """
+    jvm = spark._jvm
+    folder = jvm.org.apache.hadoop.fs.Path(path)
+    conf = spark._jsc.hadoopConfiguration()
+    files = folder.getFileSystem(conf)
+    parts = sorted((f.getPath() for f in files.listStatus(folder)), key=lambda p: p.getName())
+    parts = [p for p in parts if p.getName().startswith("part-")]
+    whole = jvm.org.apache.hadoop.fs.Path(folder, f"_{name}")
+    out = files.create(whole, True)
+    try:
+        for part in parts:
+            read = files.open(part)
+            try:
+                jvm.org.apache.hadoop.io.IOUtils.copyBytes(read, out, BUFFER, False)
+            finally:
+                read.close()
+    finally:
+        out.close()
+    if not files.rename(whole, jvm.org.apache.hadoop.fs.Path(folder, name)):
+        raise RuntimeError(f"{name} could not be put in {path}")
+    for part in parts:
+        files.delete(part, False)
 
 
 def write_parts(parts: dict[str, DataFrame], path: str) -> None:
