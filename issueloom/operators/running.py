@@ -43,3 +43,19 @@ def exclusive_sums(
         )
         .drop("_span", *[f"_off_{v}" for v in values])
     )
+
+
+def dense_numbers(df: DataFrame, order: list[str], name: str, parts: int | None = None) -> DataFrame:
+    """Add `name`: the place of each row, from 0, in the order of its columns; a written table.
+
+    Rows are dealt to ranges of about equal size, numbered inside them, and moved by the sizes of the ranges before.
+    """
+    ranged = df.repartitionByRange(parts, *order) if parts else df.repartitionByRange(*order)
+    spans = durable(ranged.withColumn("_span", F.spark_partition_id()), "ranges")
+    sizes = spans.groupBy("_span").agg(F.count(F.lit(1)).alias("_rows"))
+    # A row per partition, so one task holds them all.
+    ahead = Window.orderBy("_span").rowsBetween(Window.unboundedPreceding, -1)
+    before = sizes.select("_span", F.coalesce(F.sum("_rows").over(ahead), F.lit(0)).alias("_before"))
+    inside = F.row_number().over(Window.partitionBy("_span").orderBy(*order)) - 1
+    numbered = spans.withColumn(name, inside).join(F.broadcast(before), "_span")
+    return durable(numbered.withColumn(name, F.col(name) + F.col("_before")).drop("_span", "_before"), "numbered")

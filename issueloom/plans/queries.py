@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from issueloom.functions.json import array_field, label_names, whole_number
-from issueloom.operators import filters, groups, ingest, limits, model, quality, reactions, report, similar
+from issueloom.operators import filters, ingest, limits, model, quality, reactions, report, similar
 from issueloom.operators.durable import durable
 from issueloom.plans import tables
 from issueloom.plans.report import report_lines as assemble
@@ -359,7 +359,7 @@ def similar_pairs(spark, sf):
 
 @query
 def duplicate_groups(spark, sf):
-    return groups.duplicate_groups(similar.similar_links(tables.docs(spark, sf), *SIMILARITY))
+    return similar.similar_groups(tables.docs(spark, sf), *SIMILARITY)
 
 
 @query
@@ -371,8 +371,7 @@ def similar_pairs_split(spark, sf):
 @query
 def duplicate_groups_split(spark, sf):
     """As `duplicate_groups`, with thresholds so low that every skew path runs."""
-    links = similar.similar_links(tables.docs(spark, sf), *SIMILARITY, frequent=20, bucket_rows=20, hot_rows=500)
-    return groups.duplicate_groups(links, hot_rows=500)
+    return similar.similar_groups(tables.docs(spark, sf), *SIMILARITY, frequent=20, bucket_rows=20, hot_rows=500)
 
 
 @query

@@ -41,7 +41,7 @@ from issueloom.operators.report import (
     top_urgent,
 )
 from issueloom.operators.running import exclusive_sums
-from issueloom.operators.similar import similar_links
+from issueloom.operators.similar import similar_groups
 from issueloom.operators.skew import lookup_join
 from issueloom.plans.report import report_lines
 
@@ -72,12 +72,14 @@ def landed_issues(
     """Open issues of the listed repositories, without pull requests, updated recently enough.
 
     Elements whose number cannot be read are left to `page_rejects`. `span (repo_pos, first_page, last_page)`
-    leaves out all other pages before they are parsed.
+    leaves out all other pages before they are parsed; its outermost pages reach the scan as plain predicates.
     """
     if span is None:
         listed = union_repos(repos, pages)
     else:
-        listed = union_repos(repos.join(span, "repo_pos"), pages).filter("page BETWEEN first_page AND last_page")
+        first, last = span.agg(F.min("first_page"), F.max("last_page")).first()
+        near = pages.filter(F.col("page").between(first, last)) if first is not None else pages.limit(0)
+        listed = union_repos(repos.join(span, "repo_pos"), near).filter("page BETWEEN first_page AND last_page")
         listed = listed.drop("first_page", "last_page")
     raw = exclude_pull_requests(explode_pages(listed))
     readable = normalize_issue(raw).filter(F.col("number").isNotNull())
@@ -111,12 +113,14 @@ def first_issues(
 ) -> DataFrame:
     """Found issues of the first pages, as many pages as hold the limit; a written table.
 
-    Pages are parsed in waves, in arrival order, each GROWTH times as many as all before it, and each page once.
-    A wave takes the pages next in line, or those of the repositories that are still below their limit. The
-    first one has `wave` pages, by default as many as would hold the limit if a quarter of the issues is kept.
-    `find` gives the issues of the pages in a span.
+    Pages are parsed in waves, in arrival order, and each page once. A wave takes the pages next in line, or
+    those of the repositories that are still below their limit. The first one has `wave` pages, by default as
+    many as would hold the limit if a quarter of the issues is kept. Later ones have what the issues per page so
+    far call for and half as much again, at least GROWTH times the pages so far. `find` gives the issues of the
+    pages in a span.
     """
     ranks = page_ranks(repos, pages, per_repo)
+    lines = ranks.select("repo_pos").distinct().count() if per_repo else 1
     upto, done = 0, wave or -(-4 * limit // PAGE_ISSUES)
     found: DataFrame | None = None
     total = 0
@@ -136,7 +140,8 @@ def first_issues(
             return found
         if open_pages.filter(F.col("before_n") >= done).isEmpty():
             return found
-        upto, done = done, done * (1 + GROWTH)
+        called_for = -(-3 * limit * lines * done // (2 * max(total, 1))) if total else 0
+        upto, done = done, max(done * (1 + GROWTH), called_for)
 
 
 def kept_issues(
@@ -198,6 +203,9 @@ def triage_report(
     bad_pages = page_rejects(pages.join(repos.select("repo").distinct(), "repo", "left_semi"))
     if strict and (bad := bad_pages.first()) is not None:
         raise ValueError(f"page {bad['page']} of {bad['repo']}: {bad['reason']}")
+    # Small tables that every wave asks again.
+    repos = durable(repos, "repos")
+    lookback = None if lookback is None else durable(lookback, "lookback")
     find = lambda span: landed_issues(repos, pages, as_of, lookback, since, span)
     kept = kept_issues(repos, pages, find, limit, per_repo)
     if kept.isEmpty():
@@ -222,7 +230,10 @@ def triage_report(
     else:
         links = group_links(analysis.duplicates)
         texts = last_per_key(kept.select(*KEY, "title", "body", *arrival), KEY, arrival)
-        links = links.unionByName(similar_links(texts, *similarity).select(*links.columns))
+        alike = similar_groups(texts, *similarity).selectExpr(
+            "group_repo AS repo_a", "group_number AS number_a", "repo AS repo_b", "number AS number_b"
+        )
+        links = links.unionByName(alike)
         duplicates = duplicate_groups(links)
         lines = group_lines(duplicates, issues)
         names = duplicates.select("group_repo", "group_number")
