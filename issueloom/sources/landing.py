@@ -32,5 +32,5 @@ def read_reaction_files(spark: SparkSession, path: str) -> DataFrame:
 def repo_list(spark: SparkSession, repos: list[str]) -> DataFrame:
     """The ordered list of repositories as a table."""
     if not repos:
-        raise ValueError("at least one repository must be given")
+        raise ValueError("the list of repositories is empty")
     return spark.createDataFrame(list(enumerate(repos)), schemas.REPO_LIST)
