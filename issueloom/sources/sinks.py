@@ -17,12 +17,12 @@ def in_report_order(lines: DataFrame) -> DataFrame:
 def write_report(lines: DataFrame, path: str, single_file: bool = False) -> None:
     """Write the report as text. Part files in name order make up the report.
 
-    With `single_file` the sorted parts are then joined to one file, `report.md`, in the folder. Its bytes pass
-    from part to part through a buffer of the driver, so a report of any size becomes one file.
+    With `single_file` the sorted parts are then joined to one, `part-00000.txt`. Its bytes pass through a buffer
+    of the driver, so a report of any size becomes one file.
     """
     in_report_order(lines).select("line").write.mode("overwrite").text(path)
     if single_file:
-        join_parts(lines.sparkSession, path, "report.md")
+        join_parts(lines.sparkSession, path, "part-00000.txt")
 
 
 def join_parts(spark: SparkSession, path: str, name: str) -> None:
@@ -47,10 +47,10 @@ def join_parts(spark: SparkSession, path: str, name: str) -> None:
                 read.close()
     finally:
         out.close()
-    if not files.rename(whole, jvm.org.apache.hadoop.fs.Path(folder, name)):
-        raise RuntimeError(f"{name} could not be put in {path}")
     for part in parts:
         files.delete(part, False)
+    if not files.rename(whole, jvm.org.apache.hadoop.fs.Path(folder, name)):
+        raise RuntimeError(f"{whole} is whole, but could not be renamed to {name}")
 
 
 def write_parts(parts: dict[str, DataFrame], path: str) -> None:

@@ -117,7 +117,7 @@ def test_a_report_of_many_parts_becomes_one_file(spark, tmp_path):
     lines = spark.range(20_000).select(F.lit(1).alias("section"), (19_999 - F.col("id")).alias("rank"), F.concat(F.lit("línea "), 19_999 - F.col("id")).alias("line"))
     path = tmp_path / "report"
     write_report(lines.repartition(7), str(path), single_file=True)
-    assert (path / "report.md").read_text() == "".join(f"línea {n}\n" for n in range(20_000))
-    assert [p.name for p in path.iterdir() if p.suffix == ".txt" or p.name.startswith("part-")] == []
+    assert (path / "part-00000.txt").read_text() == "".join(f"línea {n}\n" for n in range(20_000))
+    assert [p.name for p in path.glob("part-*")] == ["part-00000.txt"]
     write_report(lines.limit(0), str(path), single_file=True)
-    assert (path / "report.md").read_text() == ""
+    assert (path / "part-00000.txt").read_text() == ""
