@@ -1,0 +1,34 @@
+"""Work that must not grow with the square of its input."""
+
+from pyspark.sql import functions as F
+
+from issueloom.operators.similar import CELL_PARTS, Numbered, full_keys, paired_from, representatives, word_sets
+
+
+def test_a_row_of_a_full_key_is_repeated_a_few_times_only(spark):
+    keyed = spark.range(2_000).select(F.lit(7).cast("long").alias("key"), F.lit(-1).cast("long").alias("other"))
+    few = spark.range(30).select(F.lit(8).cast("long").alias("key"), F.lit(-1).cast("long").alias("other"))
+    parts = {r.key: r._parts for r in full_keys(keyed.unionByName(few), 20).collect()}
+    assert parts == {7: CELL_PARTS, 8: 2}
+    large = spark.range(90_000).select(F.lit(7).cast("long").alias("key"), F.lit(-1).cast("long").alias("other"))
+    assert [r._parts for r in full_keys(large, 20).collect()] == [9]
+
+
+def test_rows_of_paired_words_are_bounded_per_set(spark):
+    words = spark.range(100).select(F.col("id").alias("rank"), (F.col("id") + 30).alias("df"))
+    sets = spark.range(50).select(
+        F.col("id").alias("sid"), F.sequence(F.lit(0).cast("long"), F.lit(99).cast("long")).alias("words"),
+        F.lit(100).alias("n"), F.lit(0).alias("alone"),
+    )
+    numbered = Numbered(sets, words)
+    # Of 21 prefix words, all in more than 20 sets, the pairs would be 231 rows a set.
+    assert paired_from(numbered, 4, 5, 20, 50, per_set=231) == 0
+    # With a bound of 40 sets ten are paired.
+    assert paired_from(numbered, 4, 5, 20, 50, per_set=60) == 11
+
+
+def test_texts_of_copies_stay_where_they_are(spark):
+    rows = [("o/a", n, "same title", "same body") for n in range(20)] + [("o/b", 1, "other", "text")]
+    groups = representatives(word_sets(spark.createDataFrame(rows, "repo string, number long, title string, body string")))
+    assert "words" not in groups.columns
+    assert sorted((r.id.repo, r.id.number, r.n, r.members) for r in groups.collect()) == [("o/a", 0, 3, 20), ("o/b", 1, 2, 1)]
