@@ -2,6 +2,8 @@
 
 from pyspark.sql import functions as F
 
+from issueloom.operators.durable import run_folder
+from issueloom.operators.model import apply_model_once, new_ledger
 from issueloom.operators.similar import CELL_PARTS, Numbered, full_keys, paired_from, representatives, word_sets
 
 
@@ -32,3 +34,21 @@ def test_texts_of_copies_stay_where_they_are(spark):
     groups = representatives(word_sets(spark.createDataFrame(rows, "repo string, number long, title string, body string")))
     assert "words" not in groups.columns
     assert sorted((r.id.repo, r.id.number, r.n, r.members) for r in groups.collect()) == [("o/a", 0, 3, 20), ("o/b", 1, 2, 1)]
+
+
+def test_a_chunk_of_prompts_is_read_alone(spark):
+    """Each chunk of missing prompts has a folder, which has its texts and no other."""
+    prompts = spark.createDataFrame([("o/a", n, f"prompt {n % 30}") for n in range(40)], "repo string, batch_id long, prompt string")
+    before = set(_chunk_folders(spark))
+    got = apply_model_once(prompts, lambda: str.upper, new_ledger(spark), prompts_per_task=3, prompts_per_chunk=8)
+    assert {(r.batch_id, r.response) for r in got.collect()} == {(n, f"PROMPT {n % 30}") for n in range(40)}
+    (folder,) = set(_chunk_folders(spark)) - before
+    texts = spark.read.parquet(folder)
+    assert texts.count() == 30 and texts.select("chunk").distinct().count() == 5
+
+
+def _chunk_folders(spark):
+    path = spark._jvm.org.apache.hadoop.fs.Path(run_folder(spark))
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    fs.mkdirs(path)
+    return [s.getPath().toString() for s in fs.listStatus(path) if s.getPath().getName().startswith("chunks-")]
