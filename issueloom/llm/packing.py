@@ -33,7 +33,8 @@ BLOCK_ROWS = 500
 CHUNKS_KEPT = 1_000_000
 LONG_CHUNK = 64
 #: Marks that end many words, and the end of the Latin letters whose classes all Unicode versions share.
-MARKS = ".,;:!?"
+MARKS = ".,;:!?*#$%&|<>()[]{}-+=/~^_@"
+LONG_MARKS = 8
 LATIN_END = "\u0250"
 #: Control characters that Python takes for white space and the tokenizer doesn't.
 SEPARATORS = ("\x1c", "\x1d", "\x1e", "\x1f")
@@ -73,29 +74,41 @@ class ChunkEncoder:
         return dict(zip(words, [data[4 * a : 4 * b] for a, b in cuts], strict=True)) if words else {}
 
     def learn(self, chunks: set[str]) -> None:
-        """Most chunks are a word with marks after it; they are cut, and all distinct words encoded at once."""
-        plain, rest = [], []
+        """Most chunks are a word with marks after it; they are cut, and all distinct words encoded at once.
+
+        Words and marks are kept like chunks, as they come again with other marks and cases.
+        """
+        known = self.known
+        plain, words, marks, rest = [], set(), set(), []
         for chunk in chunks:
             core = chunk.rstrip(MARKS)
             lower = core.lower()
-            if lower.isalpha() and max(lower) < LATIN_END and len(lower) == len(core) <= LONG_CHUNK:
-                plain.append((chunk, lower, chunk[len(core) :]))
+            end = chunk[len(core) :]
+            if lower.isalpha() and max(lower) < LATIN_END and len(lower) == len(core) <= LONG_CHUNK and len(end) <= LONG_MARKS:
+                plain.append((chunk, lower, end))
+                if lower not in known:
+                    words.add(lower)
+                if end not in known:
+                    marks.add(end)
             else:
                 rest.append(chunk)
-        words = self._words(list({lower for _, lower, _ in plain}))
-        marks = {m: self._alone(m) for m in {m for _, _, m in plain}}
-        self.known.update({chunk: words[lower] + marks[m] for chunk, lower, m in plain})
-        self.known.update({chunk: self._alone(chunk) for chunk in rest})
+        known.update(self._words(list(words)))
+        for other in [*marks, *rest]:
+            known[other] = self._alone(other)
+        for chunk, lower, end in plain:
+            known[chunk] = known[lower] + known[end]
 
     def block(self, texts: list[str]) -> list[bytes]:
         known = self.known
         if len(known) > self.kept:
             known.clear()
         cut = [None if any(c in t for c in SEPARATORS) else t.split() for t in texts]
-        new = set().union(*(c for c in cut if c)) - known.keys()
+        got = [None if c is None else list(map(known.get, c)) for c in cut]
+        new = {c for t, g in zip(cut, got, strict=True) if t for c, ids in zip(t, g, strict=True) if ids is None}
         self.learn(new)
         ids = [
-            self._alone(t) if c is None else b"".join(map(known.__getitem__, c)) for t, c in zip(texts, cut, strict=True)
+            self._alone(text) if t is None else b"".join([known[c] if i is None else i for c, i in zip(t, g, strict=True)])
+            for text, t, g in zip(texts, cut, got, strict=True)
         ]
         for c in new:
             if len(c) > LONG_CHUNK:

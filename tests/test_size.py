@@ -1,7 +1,9 @@
 """Work that must not grow with the square of its input."""
 
+import public_tokenizers
 from pyspark.sql import functions as F
 
+from issueloom.llm.packing import ChunkEncoder
 from issueloom.operators.durable import run_folder
 from issueloom.operators.model import apply_model_once, new_ledger
 from issueloom.operators.similar import CELL_PARTS, Numbered, full_keys, paired_from, representatives, word_sets
@@ -52,3 +54,13 @@ def _chunk_folders(spark):
     fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
     fs.mkdirs(path)
     return [s.getPath().toString() for s in fs.listStatus(path) if s.getPath().getName().startswith("chunks-")]
+
+
+def test_a_word_is_encoded_once_whatever_its_marks_and_case():
+    encoder = ChunkEncoder(str(public_tokenizers.path("word_bpe_49k.json")))
+    asked, words = [], encoder._words
+    encoder._words = lambda new: asked.extend(new) or words(new)
+    texts = ["Hello there, hello.", "HELLO*** there### (x) hello,&&&", "there!? Hello$$$$$$$$$$ 's it's"]
+    got = [ids for text in texts for ids in encoder.block([text])]
+    assert got == [encoder._alone(text) for text in texts]
+    assert sorted(asked) == ["hello", "there"]
