@@ -1,12 +1,27 @@
-"""Work that must not grow with the square of its input."""
+"""Work that must not grow with the square of its input, and files that must not outlive their use."""
+
+import os
+import time
 
 import public_tokenizers
+import pytest
 from pyspark.sql import functions as F
 
 from issueloom.llm.packing import ChunkEncoder
-from issueloom.operators.durable import run_folder
+from issueloom.operators.durable import SHUFFLE_CLEANUP, discard, durable, run_folder
 from issueloom.operators.model import apply_model_once, new_ledger
-from issueloom.operators.similar import CELL_PARTS, Numbered, full_keys, paired_from, representatives, word_sets
+from issueloom.operators.similar import (
+    CELL_PARTS,
+    Numbered,
+    full_keys,
+    number_words,
+    paired_from,
+    postings,
+    representatives,
+    similar_groups,
+    similar_pairs,
+    word_sets,
+)
 
 
 def test_a_row_of_a_full_key_is_repeated_a_few_times_only(spark):
@@ -38,6 +53,52 @@ def test_texts_of_copies_stay_where_they_are(spark):
     assert sorted((r.id.repo, r.id.number, r.n, r.members) for r in groups.collect()) == [("o/a", 0, 3, 20), ("o/b", 1, 2, 1)]
 
 
+def near_copies(spark):
+    base = " ".join(f"w{i}" for i in range(20))
+    rows = [("o/a", n, f"only{n % 30}", base) for n in range(40)] + [("o/b", n, f"t{n} u{n}", "v") for n in range(9)]
+    return spark.createDataFrame(rows, "repo string, number long, title string, body string")
+
+
+def test_rows_of_keys_are_narrow(spark):
+    texts = word_sets(near_copies(spark)).select(F.col("row").alias("sid"), "words", "n")
+    keyed = postings(number_words(texts).sets, 4, 5, 5)
+    assert keyed.dtypes == [("key", "int"), ("other", "int"), ("sid", "bigint"), ("upto", "int"), ("n", "int")]
+
+
+def _folders(spark):
+    path = spark._jvm.org.apache.hadoop.fs.Path(run_folder(spark))
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    fs.mkdirs(path)
+    return {s.getPath().getName() for s in fs.listStatus(path)}
+
+
+@pytest.mark.parametrize(("find", "n"), [(similar_pairs, 29 * 30 // 2 + 10), (similar_groups, 40)])
+def test_tables_that_are_read_no_more_are_deleted(spark, find, n):
+    before = _folders(spark)
+    got = find(near_copies(spark), frequent=5, bucket_rows=8, hot_rows=10)
+    left = {name.rpartition("-")[0] for name in _folders(spark) - before}
+    assert left.isdisjoint({"words", "ranges", "numbered", "numbered-sets", "postings", "met", "candidates", "parted", "placed"})
+    assert got.count() == n == got.distinct().count()  # what the result reads is there, also a second time
+
+
+def _shuffle_files(spark):
+    dirs = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()
+    return {f for d in dirs for _, _, files in os.walk(d.getPath()) for f in files if f.startswith("shuffle_")}
+
+
+def test_shuffle_files_of_a_written_table_are_removed(spark):
+    before = _shuffle_files(spark)
+    table = durable(spark.range(5_000).groupBy((F.col("id") % 700).alias("k")).count(), "grouped")
+    ends = time.time() + 30  # they are removed by another thread
+    while (left := _shuffle_files(spark) - before) and time.time() < ends:
+        time.sleep(0.2)
+    assert not left
+    assert spark.conf.get(SHUFFLE_CLEANUP, None) is None
+    assert table.count() == 700
+    discard(table)
+    assert not [name for name in _folders(spark) if name.startswith("grouped-")]
+
+
 def test_a_chunk_of_prompts_is_read_alone(spark):
     """Each chunk of missing prompts has a folder, which has its texts and no other."""
     prompts = spark.createDataFrame([("o/a", n, f"prompt {n % 30}") for n in range(40)], "repo string, batch_id long, prompt string")
