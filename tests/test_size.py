@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from issueloom.llm.packing import ChunkEncoder
 from issueloom.operators.durable import SHUFFLE_CLEANUP, discard, durable, run_folder
-from issueloom.operators.model import apply_model_once, new_ledger
+from issueloom.operators.model import CHUNK_FILES, apply_model_once, new_ledger
 from issueloom.operators.similar import (
     CELL_PARTS,
     Numbered,
@@ -117,6 +117,14 @@ def _chunk_folders(spark):
     return [s.getPath().toString() for s in fs.listStatus(path) if s.getPath().getName().startswith("chunks-")]
 
 
+def test_answers_of_small_tasks_are_in_few_files(spark):
+    prompts = spark.createDataFrame([("o/a", n, f"prompt {n}") for n in range(40)], "repo string, batch_id long, prompt string")
+    ledger = new_ledger(spark)
+    got = apply_model_once(prompts, lambda: str.upper, ledger, prompts_per_task=1, prompts_per_chunk=40)
+    assert {(r.batch_id, r.response) for r in got.collect()} == {(n, f"PROMPT {n}") for n in range(40)}
+    assert 1 <= len(spark.read.parquet(ledger).inputFiles()) <= CHUNK_FILES
+
+
 def test_a_word_is_encoded_once_whatever_its_marks_and_case():
     encoder = ChunkEncoder(str(public_tokenizers.path("word_bpe_49k.json")))
     asked, words = [], encoder._words

@@ -155,3 +155,19 @@ def test_lookback_per_repository(spark, landed):
     assert sorted((r.repo, r.number) for r in done.issues.collect()) == [("o/a", 11), ("o/a", 12), ("o/a", 16)]
     with pytest.raises(ValueError):
         triage_report(repo_list(spark, ["o/a"]), *landed, fixed_answer("{}"), lookback=lookback, **ASK)
+
+
+def test_reactions_are_read_once_and_small_parts_of_the_report_are_written(spark, landed):
+    read = spark.sparkContext.accumulator(0)
+
+    def seen(row):
+        read.add(1)
+        return row
+
+    rows = [("o/a", 11, "+1")] * 5 + [("o/b", 17, "-1")] * 4
+    reactions = spark.createDataFrame(spark.sparkContext.parallelize(rows, 3).map(seen), landed[1].schema)
+    done = triage_report(repo_list(spark, ["o/a", "o/b"]), landed[0], reactions, judge(**LISTS), since=SINCE, **ASK)
+    assert len(ids_of(section(lines_of(done), "## Top 20 Urgent Issues"))) == 5
+    assert read.value == len(rows)
+    plan = done.lines._jdf.queryExecution().optimizedPlan().toString()
+    assert "$.priorities" in plan and "$.top_urgent_issues" not in plan
